@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .mixing import op10_mixing
+from .packing import op2_packing
+from .quality import op9_quality
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
