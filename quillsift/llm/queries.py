@@ -5,8 +5,10 @@ from __future__ import annotations
 from .mixing import op10_mixing
 from .packing import op2_packing
 from .quality import op9_quality
+from .suffix_tree import op1_suffix_tree
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_packing": op2_packing,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
