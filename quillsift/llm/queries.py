@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op10_mixing
+from .ngram_join import op4_ngram_join
 from .packing import op2_packing
 from .quality import op9_quality
 from .suffix_tree import op1_suffix_tree
 
 QUERIES = {
+    "op4_ngram_join": op4_ngram_join,
     "op1_suffix_tree": op1_suffix_tree,
     "op2_packing": op2_packing,
     "op9_quality": op9_quality,
