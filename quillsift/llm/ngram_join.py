@@ -289,8 +289,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     if len(hot):
         levels[hot["a"].to_numpy()] = np.minimum(63, 1 + np.floor(np.log2(hot["b"].to_numpy()))).astype(np.uint8)
     first = docs.mapInArrow(prefixes(size, percent, levels), "token long, set long, n int, pos int")
-    sorted_rows = first.repartition("token").sortWithinPartitions("token", "n", "set")
-    listed = staged(sorted_rows, "first")  # read twice: for stars, and across components
+    listed = staged(first, "first")  # read twice: for stars, and across components
     stars_of = listed.repartition("token").sortWithinPartitions("token", "n", "set").mapInArrow(stars(percent), "a long, b long")
     pairs = staged(stars_of.distinct(), "pairs")
     links = staged(check(docs, rows, pairs, size, percent, levels), "links")
