@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import op7_line_dedup
 from .mixing import op10_mixing
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
@@ -9,6 +10,7 @@ from .quality import op9_quality
 from .suffix_tree import op1_suffix_tree
 
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op1_suffix_tree": op1_suffix_tree,
     "op2_packing": op2_packing,
