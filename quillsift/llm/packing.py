@@ -196,26 +196,65 @@ def intervals(bins: list[tuple[int, tuple[int, ...]]], first_bin: int = 0):
 
 
 class Tokens:
-    """Token ids of a text as little-endian bytes.  The pattern of the vocabulary never spans ASCII white
-    space, so a text is the sum of its words and each word is tokenized once for a worker's cache."""
+    """Token ids of a text as little-endian bytes.
 
-    LIMIT = 150_000
+    The vocabulary's pattern splits a lower-cased text in runs of letters, single digits and runs of
+    other characters, and never spans white space.  So a text is the sum of its words, a plain word (printable
+    ASCII and Latin-1 without apostrophes, which may start contractions) the sum of such parts, and each
+    is tokenized once for a worker's cache.  Parts go to the tokenizer many at a time, one space apart;
+    a part's last token is the only one that ends in </w>.  Other words go to the tokenizer as they are.
+    """
+
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tool, self.cache = Tokenizer.from_file(path), {}
-        self.split = re.compile(r"[^ \t\n\v\f\r]+").findall
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.split(t) for t in texts]
+        self.tool, self.cache, self.parts = Tokenizer.from_file(path), {}, {}
+        self.words = re.compile(r"[^ \t\n\v\f\r]+").findall
+        self.plain = re.compile(r"(?:(?!<\|)[!-&(-~¡-ÿ])+").fullmatch
+        letters, digits = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+        self.split = re.compile(f"[{letters}]+|[{digits}]|[^{letters}{digits}]+").findall
+        vocabulary = self.tool.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def each(self, items: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tool.encode_batch_fast(items, add_special_tokens=False)]
+
+    def learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 6400):
+            groups = [parts[i : i + 64] for i in range(at, min(at + 6400, len(parts)), 64)]
+            for group, e in zip(groups, self.tool.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+                if len(ends) != len(group) or ends[-1] != len(ids):
+                    self.parts.update(zip(group, self.each(group)))
+                    continue
+                data, start = ids.tobytes(), 0
+                for part, end in zip(group, ends):
+                    self.parts[part] = data[4 * start : 4 * end]
+                    start = end
+
+    def learn(self, words: set[str]) -> None:
         if len(self.cache) > self.LIMIT:
             self.cache.clear()
-        new = list({w for ws in words for w in ws}.difference(self.cache))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tool.encode_batch(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.parts) > self.LIMIT:
+            self.parts.clear()
+        plain = {w: self.split(w.lower()) for w in words if self.plain(w)}
+        other = [w for w in words if w not in plain]
+        self.cache.update(zip(other, self.each(other)))
+        self.learn_parts(list({p for ps in plain.values() for p in ps}.difference(self.parts)))
+        get = self.parts.__getitem__
+        for w, ps in plain.items():
+            self.cache[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [self.words(t) for t in texts]
+        if new := {w for ws in words for w in ws}.difference(self.cache):
+            if len(self.cache) > self.LIMIT:
+                new = {w for ws in words for w in ws}
+            self.learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
