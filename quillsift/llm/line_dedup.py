@@ -121,8 +121,10 @@ def verified(docs: DataFrame, keyed: DataFrame, pairs: DataFrame, levels: Column
     return pairs.join(a, "later").join(b, "earlier").filter(100 * both >= percent * (F.size("u") + F.size("v") - both)).select("later", "earlier")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details: bool = False) -> DataFrame:
-    """``docs`` with the lines removed from ``text``; with ``details``, n_lines and n_removed follow."""
+def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the lines removed from ``text``; with ``details``, n_lines and n_removed follow.
+
+    ``drop_emptied``: documents that lose lines and keep no word go (copies of earlier ones, mostly)."""
     gone = removed_lines(docs, percent, min_words).groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
     x, g = docs.withColumn("__h", F.xxhash64("text")).alias("x"), gone.alias("g")
     joined = x.join(g, F.col("x.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("x.__h") == F.col("g.h")), "left")
@@ -136,6 +138,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details:
     if details:
         n = F.coalesce(F.size(lines), F.lit(0))
         columns += [F.when(F.col("x.text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("x.text").isNull(), 0).otherwise(n - F.size("__kept")).cast("long").alias("n_removed")]
+    if drop_emptied:
+        lost = F.col("x.text").isNotNull() & (F.size("__kept") < F.size(lines))
+        out = out.filter(~lost | F.array_join("__kept", "").rlike("[^ \\x09-\\x0D]"))
     return out.select(*columns)
 
 
