@@ -8,6 +8,7 @@ empty result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillsift.llm.common import staged
 from quillsift.llm.line_dedup import dedup_lines
@@ -24,7 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line resembles are taken out; documents left without any text go."""
-    return dedup_lines(docs, drop_emptied=True)
+    out = dedup_lines(docs, drop_emptied=True)
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ a line that is removed itself still removes later ones.  Lines of fewer than ``m
 stay and remove nothing.
 
 Words are ordered by rarity (a count sketch of 2**17 slots over all lines, ties by hash), and two similar lines
-share one of their first ``n - ceil(0.8 n) + 1`` words.  Lines that are equal as sets are one entry of the
-index.  For each first word, every line is held against the earliest line under it; only what is not removed
-by that is joined with all earlier lines under the word.  So a line that comes in thousands of variants costs a
-few comparisons each, not all their pairs.  Length, position and a 128-bit sketch of the words (its differing
+share one of their first ``n - ceil(0.8 n) + 1`` words.  Lines under a first word that few have are joined with
+each other.  Under a word of many lines, each is held against the earliest first; only what neither that nor an
+equal line removes is joined with all earlier lines.  So a line that comes in thousands of variants costs a
+few comparisons each, not all their pairs.  Length, position and a 64-bit sketch of the words (its differing
 bits are a lower bound for the differing words) filter pairs inside the join; the rest is verified on the words.
 
 Edge cases: null text stays null, empty text empty; of repeated rows all but one lose the lines that the
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SLOTS = 1 << 17
+#: Runs of a first word up to this length are joined with themselves at once.
+RUN = 64
 #: Bits of a packed word: 6 of rarity, 56 of its hash.
 HASH_BITS = 56
 
@@ -54,9 +56,9 @@ def pack(words: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(words, lambda x: F.shiftleft(level(x).cast("long"), HASH_BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
 
 
-def sketch(words: Column, shift: int) -> Column:
+def sketch(words: Column) -> Column:
     """64 bits: those that words hash to."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
 
 
@@ -70,55 +72,68 @@ def passes(a: str, b: str, percent: int) -> Column:
     c = lambda t, x: F.col(f"{t}.{x}")
     n, m = c(a, "n"), c(b, "n")
     most = F.least(c(a, "pos"), c(b, "pos")) + 1 + F.least(n - c(a, "pos") - 1, m - c(b, "pos") - 1)
-    differ = F.greatest(*[F.bit_count(c(a, s).bitwiseXOR(c(b, s))) for s in ("s1", "s2")])
+    differ = F.bit_count(c(a, "s").bitwiseXOR(c(b, "s")))
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (most >= required(n, m, percent)) & (differ <= n + m - 2 * required(n, m, percent))
 
 
+AT = ("doc_id", "h", "line")
+
+
+def place(t: str) -> Column:
+    return F.struct(*[F.col(f"{t}.{c}") for c in AT])
+
+
 def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """doc_id, h, line of the lines to remove (of repeated rows: those of one of them)."""
     docs = docs.select("doc_id", "text")
     levels = rarity(docs, min_words)
-    packed = with_lines(docs, min_words).select("doc_id", "h", "line", pack(F.col("words"), levels).alias("words"))
+    copies = staged(equal_lines(docs, min_words), "copies")
+    packed = with_lines(docs, min_words).select(*AT, pack(F.col("words"), levels).alias("words"))
     n = F.size("words")
     first = F.slice("words", 1, (n - F.ceil(percent * n / F.lit(100)) + 1).cast("int"))
-    place = F.struct("doc_id", "h", "line").alias("at")
-    lines = packed.select(place, F.xxhash64("words").alias("key"), n.alias("n"), sketch(F.col("words"), 0).alias("s1"), sketch(F.col("words"), 6).alias("s2"), first.alias("first"))
-    lines = staged(lines, "lines")
-
-    # equal sets: the earliest stays, and stands for the others
-    same = lines.groupBy("key").agg(F.min("at").alias("first_at"))
-    keyed = staged(same, "sets")
-    copies = lines.select("at", "key").join(keyed, "key").filter("at != first_at").select("at.*")
-
-    rows = lines.select("key", "at", "n", "s1", "s2", F.posexplode("first").alias("pos", "word"))
-    # under a word, a set once, with its earliest place
-    under = rows.repartition("word").groupBy("word", "key").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "pos")])
-    under = staged(under, "under")
-    heads = under.groupBy("word").agg(F.min(F.struct("at", "key", "n", "s1", "s2", "pos")).alias("e"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("word", "e.*")
-    x, y = under.alias("x"), heads.alias("y")
-    stars = x.join(y, F.col("x.word") == F.col("y.word")).filter((F.col("y.key") != F.col("x.key")) & passes("x", "y", percent))
-    stars = staged(stars.select(F.col("x.key").alias("later"), F.col("y.key").alias("earlier")).distinct(), "pairs")
-    near = verified(docs, keyed, stars, levels, percent, min_words)
-    done = staged(near.select(F.col("later").alias("key")).distinct(), "near")
-
-    left = under.join(done, "key", "left_anti").alias("x")
-    rest = left.join(under.alias("y"), F.col("x.word") == F.col("y.word")).filter((F.col("y.at") < F.col("x.at")) & passes("x", "y", percent))
-    rest = rest.select(F.col("x.key").alias("later"), F.col("y.key").alias("earlier")).distinct().join(stars, ["later", "earlier"], "left_anti")
-    rest = verified(docs, keyed, staged(rest, "pairs"), levels, percent, min_words).select(F.col("later").alias("key"))
-    near = done.union(rest).distinct().join(keyed, "key").select("first_at.*")
-    return copies.union(near)
-
-
-def verified(docs: DataFrame, keyed: DataFrame, pairs: DataFrame, levels: Column, percent: int, min_words: int) -> DataFrame:
-    """The pairs (later, earlier) whose Jaccard similarity is high enough, by their words."""
-    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("key")).distinct()
-    places = wanted.join(keyed, "key").select("key", "first_at.*")
-    texts = docs.withColumn("h", F.xxhash64("text")).join(places.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
-    sets = with_lines(texts.select("doc_id", "text"), min_words).join(places, ["doc_id", "h", "line"]).select("key", "words")
+    rows = packed.select(*AT, n.alias("n"), sketch(F.col("words")).alias("s"), F.posexplode(first).alias("pos", "word"))
+    rows = rows.withColumn("word", F.hash("word"))  # a shorter key; what it mixes up, verification sorts out
+    # one exchange serves both sides of the join below and the long runs
+    runs = rows.repartition("word").withColumn("run", F.count(F.lit(1)).over(Window.partitionBy("word")))
+    short, long = runs.filter(F.col("run").between(2, RUN)), runs.filter(F.col("run") > RUN)
+    pairs = candidates(short, short, percent)
+    pairs = staged(pairs.join(copies, [F.col(f"later.{c}") == copies[c] for c in AT], "left_anti"), "pairs")
+    near = staged(verified(docs, pairs, percent, min_words), "near")
+
+    # long runs: copies and near copies by the thousand, and words that many lines have among their rarest
+    long = staged(long.drop("run"), "long")
+    heads = long.groupBy("word").agg(F.min(F.struct(*AT, "n", "s", "pos")).alias("e")).select("word", "e.*")
+    done = copies.union(near).distinct()
+    left = long.join(done, list(AT), "left_anti")
+    more = staged(verified(docs, staged(candidates(left, heads, percent), "pairs"), percent, min_words), "near")
+    left = left.join(more, list(AT), "left_anti")
+    rest = staged(verified(docs, staged(candidates(left, long, percent), "pairs"), percent, min_words), "near")
+    return done.union(more).union(rest).distinct()
+
+
+def candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """later, earlier: lines of ``x`` with earlier ones of ``y`` under the same word, filtered."""
+    both = x.alias("x").join(y.alias("y"), F.col("x.word") == F.col("y.word")).filter((place("y") < place("x")) & passes("x", "y", percent))
+    return both.select(place("x").alias("later"), place("y").alias("earlier")).distinct()
+
+
+def equal_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, h, line of lines that an earlier line equals but for case (lines of too few words among them)."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    lines = lines.filter(F.length("s") >= 2 * min_words - 1).select(F.xxhash64(F.lower("s")).alias("key"), F.struct(*AT).alias("at"))
+    least = lines.groupBy("key").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return lines.join(least, "key").filter("at != first_at").select("at.*")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """doc_id, h, line of the later lines of pairs whose Jaccard similarity is high enough, by their words."""
+    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct().select("at.*")
+    texts = docs.withColumn("h", F.xxhash64("text")).join(wanted.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    sets = with_lines(texts.select("doc_id", "text"), min_words).join(wanted, list(AT)).select(F.struct(*AT).alias("at"), "words")
     sets = staged(sets, "words")
-    a, b = sets.select(F.col("key").alias("later"), F.col("words").alias("u")), sets.select(F.col("key").alias("earlier"), F.col("words").alias("v"))
+    a, b = sets.select(F.col("at").alias("later"), F.col("words").alias("u")), sets.select(F.col("at").alias("earlier"), F.col("words").alias("v"))
     both = F.size(F.array_intersect("u", "v"))
-    return pairs.join(a, "later").join(b, "earlier").filter(100 * both >= percent * (F.size("u") + F.size("v") - both)).select("later", "earlier")
+    return pairs.join(a, "later").join(b, "earlier").filter(100 * both >= percent * (F.size("u") + F.size("v") - both)).select("later.*").distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details: bool = False, drop_emptied: bool = False) -> DataFrame:
@@ -131,7 +146,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details:
     nth = F.row_number().over(Window.partitionBy("x.doc_id", "x.__h").orderBy("x.__h"))
     lines = F.split(F.col("x.text"), "\n")
     words = lambda s: F.size(F.array_distinct(F.array_remove(F.split(F.lower(s), "[ \\x09-\\x0D]+"), "")))
-    kept = F.when(nth > 1, F.filter(lines, lambda s: words(s) < min_words)).when(F.col("g.gone").isNull(), lines).otherwise(F.filter(lines, lambda s, i: ~F.array_contains(F.col("g.gone"), i)))
+    kept = F.when(nth > 1, F.filter(lines, lambda s: words(s) < min_words)).when(F.col("g.gone").isNull(), lines).otherwise(F.filter(lines, lambda s, i: ~F.array_contains(F.col("g.gone"), i) | (words(s) < min_words)))
     out = joined.withColumn("__kept", kept)
     text = F.when(F.col("x.text").isNotNull(), F.array_join("__kept", "\n")).alias("text")
     columns = [text if c == "text" else F.col(f"x.`{c}`") for c in docs.columns]
