@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .html_text import op3_html_text
 from .line_dedup import op7_line_dedup
 from .mixing import op10_mixing
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
 from .quality import op9_quality
 from .suffix_tree import op1_suffix_tree
+from .syncmers import op6_syncmers
 
 QUERIES = {
+    "op3_html_text": op3_html_text,
+    "op6_syncmers": op6_syncmers,
     "op7_line_dedup": op7_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op1_suffix_tree": op1_suffix_tree,
