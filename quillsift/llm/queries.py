@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html_text import op3_html_text
 from .line_dedup import op7_line_dedup
+from .media import op8_media
 from .mixing import op10_mixing
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
@@ -12,6 +13,7 @@ from .suffix_tree import op1_suffix_tree
 from .syncmers import op6_syncmers
 
 QUERIES = {
+    "op8_media": op8_media,
     "op3_html_text": op3_html_text,
     "op6_syncmers": op6_syncmers,
     "op7_line_dedup": op7_line_dedup,
