@@ -30,30 +30,42 @@ RUN = 64
 HASH_BITS = 56
 
 
-def with_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, h (hash of the text), line, words: the distinct words of each line, as hashes; lines of too few words left out."""
-    lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    lines = lines.select("doc_id", "h", "line", F.split(F.lower("s"), "[ \\x09-\\x0D]+").alias("w"))
-    lines = lines.filter(F.size("w") >= min_words)
-    # array_remove, not a filter before the hash: an empty string stands at either end only
-    words = F.array_distinct(F.transform(F.array_remove("w", ""), lambda x: F.xxhash64(x)))
-    return lines.select("doc_id", "h", "line", words.alias("words")).filter(F.size("words") >= min_words)
-
-
-def rarity(docs: DataFrame, min_words: int) -> Column:
-    """A byte for each of SLOTS: 32 and log2 of how many lines have a word of the slot.  A literal of fixed size."""
-    words = with_lines(docs, min_words).select(F.explode("words").alias("x"))
-    counts = words.groupBy(F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+def spaced(text: Column) -> Column:
+    """Lower case, with tabs and the like as spaces; newlines stay.  A plain replacement is many times faster than a pattern."""
+    text = F.lower(text)
+    for c in "\t\v\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def hashes(line: Column, make=lambda x: x) -> Column:
+    """``make`` of the hashes of a line's distinct words."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: make(F.xxhash64(w))))
+
+
+def with_lines(docs: DataFrame, min_words: int, words=hashes) -> DataFrame:
+    """doc_id, h (hash of the text), line, words: the distinct words of each line, as hashes; lines of too few words left out.
+
+    The words are made inside the generator, so once: a filter or a projection on them would make them again."""
+    lines = F.transform(F.split(spaced(F.col("text")), "\n"), lambda line: words(line))
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(lines).alias("line", "words")).filter(F.size("words") >= min_words)
+
+
+def rarity(docs: DataFrame) -> Column:
+    """A byte for each of SLOTS: 32 and a logarithm of how often words of the slot occur.  A literal of fixed size."""
+    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     table = bytearray(b" " * SLOTS)
     for slot, level in counts.select("slot", F.least(F.lit(63), F.floor(F.log2("n") * 1.5) + 1).cast("int")).toLocalIterator():
         table[slot] = 32 + level
     return F.lit(bytes(table))
 
 
-def pack(words: Column, levels: Column) -> Column:
-    """The words in order of rarity."""
+def ranked(levels: Column):
+    """Words of a line, each with its rarity in the top bits, in that order."""
     level = lambda x: F.ascii(F.substring(levels, F.pmod(x, F.lit(SLOTS)).cast("int") + 1, 1).cast("string")) - 32
-    return F.sort_array(F.transform(words, lambda x: F.shiftleft(level(x).cast("long"), HASH_BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
+    tag = lambda x: F.shiftleft(level(x).cast("long"), HASH_BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    return lambda line: F.sort_array(hashes(line, tag))
 
 
 def sketch(words: Column) -> Column:
@@ -86,12 +98,12 @@ def place(t: str) -> Column:
 def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """doc_id, h, line of the lines to remove (of repeated rows: those of one of them)."""
     docs = docs.select("doc_id", "text")
-    levels = rarity(docs, min_words)
+    levels = rarity(docs)
     copies = staged(equal_lines(docs, min_words), "copies")
-    packed = with_lines(docs, min_words).select(*AT, pack(F.col("words"), levels).alias("words"))
     n = F.size("words")
     first = F.slice("words", 1, (n - F.ceil(percent * n / F.lit(100)) + 1).cast("int"))
-    rows = packed.select(*AT, n.alias("n"), sketch(F.col("words")).alias("s"), F.posexplode(first).alias("pos", "word"))
+    lines = with_lines(docs, min_words, ranked(levels)).select(*AT, n.alias("n"), sketch(F.col("words")).alias("s"), first.alias("first"))
+    rows = lines.select(*AT, "n", "s", F.posexplode("first").alias("pos", "word"))
     rows = rows.withColumn("word", F.hash("word"))  # a shorter key; what it mixes up, verification sorts out
     # one exchange serves both sides of the join below and the long runs
     runs = rows.repartition("word").withColumn("run", F.count(F.lit(1)).over(Window.partitionBy("word")))
@@ -145,7 +157,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details:
     joined = x.join(g, F.col("x.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("x.__h") == F.col("g.h")), "left")
     nth = F.row_number().over(Window.partitionBy("x.doc_id", "x.__h").orderBy("x.__h"))
     lines = F.split(F.col("x.text"), "\n")
-    words = lambda s: F.size(F.array_distinct(F.array_remove(F.split(F.lower(s), "[ \\x09-\\x0D]+"), "")))
+    words = lambda s: F.size(hashes(spaced(s)))
     kept = F.when(nth > 1, F.filter(lines, lambda s: words(s) < min_words)).when(F.col("g.gone").isNull(), lines).otherwise(F.filter(lines, lambda s, i: ~F.array_contains(F.col("g.gone"), i) | (words(s) < min_words)))
     out = joined.withColumn("__kept", kept)
     text = F.when(F.col("x.text").isNotNull(), F.array_join("__kept", "\n")).alias("text")
