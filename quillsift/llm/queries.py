@@ -9,10 +9,12 @@ from .mixing import op10_mixing
 from .ngram_join import op4_ngram_join
 from .packing import op2_packing
 from .quality import op9_quality
+from .substring_dedup import op5_substring_dedup
 from .suffix_tree import op1_suffix_tree
 from .syncmers import op6_syncmers
 
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_media": op8_media,
     "op3_html_text": op3_html_text,
     "op6_syncmers": op6_syncmers,
