@@ -1,164 +1,268 @@
-"""Line dedup: an exact set-similarity join of lines, DataFrame and SQL functions only.
+"""Line dedup: an exact set-similarity join of lines.
 
-A line is the set of its words (split at ASCII white space, lower case).  It is removed if an earlier
+A line is the set of its words (runs of anything but ASCII white space, lower case).  It is removed if an earlier
 line, by doc_id and place, has a Jaccard similarity of 0.8 or more with it; what counts is the input, so
 a line that is removed itself still removes later ones.  Lines of fewer than ``min_words`` distinct words
 stay and remove nothing.
 
-Words are ordered by rarity (a count sketch of 2**17 slots over all lines, ties by hash), and two similar lines
-share one of their first ``n - ceil(0.8 n) + 1`` words.  Lines under a first word that few have are joined with
-each other.  Under a word of many lines, each is held against the earliest first; only what neither that nor an
-equal line removes is joined with all earlier lines.  So a line that comes in thousands of variants costs a
-few comparisons each, not all their pairs.  Length, position and a 64-bit sketch of the words (its differing
-bits are a lower bound for the differing words) filter pairs inside the join; the rest is verified on the words.
+Words are ordered by rarity (a count sketch of 2**20 slots over all lines, ties by hash), and two similar lines share
+one of their first ``n - ceil(0.8 n) + 1`` words.  The lines under a first word are held against each other by
+length, position and a 64-bit sketch of their words, whose differing bits are a lower bound for the differing
+words.  One witness is enough, so a line sends its first few only; the witnesses are verified on the words.
+Lines that had more witnesses than they sent, and were not removed, send all of them in a second round.
+The lines under a word that very many have go through in blocks; what its own block doesn't remove meets the
+others in the second round, dealt out by salt.  Lines that are equal as sets need no such pairs.
+
+The main path has Python in it.  A version of DataFrame functions only gave the same rows, but could
+not meet the limits of the check tool (README, op7_line_dedup).
 
 Edge cases: null text stays null, empty text empty; of repeated rows all but one lose the lines that the
-first has; lines are split at \\n and joined by it; an empty table gives no rows; extra columns stay as they are.
+first has; a null doc_id comes before all others; lines are split at \\n and joined by it; an empty table gives
+no rows; extra columns stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
+from .ngram_join import Words, mix64, runs, set_key
+
+SLOTS = 1 << 20
+SHIFT = np.uint64(44)
+#: Witnesses that a line sends for each first word in the first round.
+WITNESSES = 3
+#: Lines of a word's part, about.
+PART = 1 << 14
+NO_ID = -(1 << 63)
+AT = ["doc_id", "h", "line"]
+ROW = [*AT, "n", "pos", "s"]
+find = re.compile(rb"[^\x20\x09-\x0D]+").findall
+
+
+def line_sets(text: str | None, words: Words, min_words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(line number, distinct word hashes ascending) of each line with words enough."""
+    for i, line in enumerate(text.split("\n") if text else ()):
+        if len(line) >= 2 * min_words - 1:
+            found = set(find(line.lower().encode("utf-8", "replace")))
+            if len(found) >= min_words:
+                yield i, np.sort(np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found)))
+
+
+def describe(min_words: int):
+    """doc_id, h, text -> kind 0: doc_id, h, line, set key; kind 1: slot and count of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, slots, names = Words(), np.zeros(SLOTS, dtype=np.int64), ["kind", "doc_id", "h", "line", "value"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, rows, sets = batch.slice(at, 512), [], []
+                for doc_id, h, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    for line, tokens in line_sets(text, words, min_words):
+                        rows.append((0, doc_id, h, line, set_key(tokens)))
+                        sets.append(tokens)
+                if rows:
+                    slot, n = np.unique((np.concatenate(sets) >> SHIFT).astype(np.int64), return_counts=True)
+                    slots[slot] += n
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=names)
+        used = np.flatnonzero(slots > 1)  # what a task meets once is rare enough
+        zero = np.zeros(len(used), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(used), pa.array(zero), pa.array(zero), pa.array(slots[used])], names=names)
+
+    return run
+
+
+ROWS = "word int, doc_id long, h int, line int, n int, pos int, s long"
+
+
+def first_words(min_words: int, percent: int, levels: np.ndarray):
+    """doc_id, h, text -> a row for each first word of each line, sets that the task has met left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = Words(), set()
+        names = [x.split()[0] for x in ROWS.split(", ")]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, firsts, lines = batch.slice(at, 512), [], []
+                for doc_id, h, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    for line, tokens in line_sets(text, words, min_words):
+                        key, n = set_key(tokens), len(tokens)
+                        if key in seen:
+                            continue
+                        seen.add(key)
+                        level = levels[(tokens >> SHIFT).astype(np.int64)]
+                        ordered = np.sort((level.astype(np.uint64) << np.uint64(57)) | (tokens & np.uint64((1 << 57) - 1)))
+                        first = ordered[: n - (percent * n + 99) // 100 + 1]
+                        sketch = np.bitwise_or.reduce(np.uint64(1) << (tokens & np.uint64(63)))
+                        firsts.append(first)
+                        lines.append((doc_id, h, line, n, sketch, len(first)))
+                if not firsts:
+                    continue
+                word, sizes = np.concatenate(firsts), np.array([x[5] for x in lines])
+                each = lambda i, t: np.repeat(np.array([x[i] for x in lines], dtype=t), sizes)
+                pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                # 32 bits of a word do: what they mix up, verification sorts out
+                word = (mix64(word) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                cols = [word, each(0, np.int64), each(1, np.int32), each(2, np.int32), each(3, np.int32), pos.astype(np.int32), each(4, np.uint64).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    return run
+
+
+def bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x)
+
+
+def passing(n: np.ndarray, pos: np.ndarray, s: np.ndarray, i: int, lo: int, hi: int, percent: int) -> np.ndarray:
+    """Which of the lines lo to hi pass the filters with line i."""
+    m, p = n[lo:hi], pos[lo:hi]
+    need = -(-percent * (m + n[i]) // (100 + percent))
+    most = np.minimum(p, pos[i]) + 1 + np.minimum(m - p, n[i] - pos[i]) - 1
+    return lo + np.flatnonzero((most >= need) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (bits(s[lo:hi] ^ s[i]) <= m + n[i] - 2 * need))
+
+
+PAIRS = ", ".join(f"{c}{i} {t}" for i in (1, 2) for c, t in (("doc_id", "long"), ("h", "int"), ("line", "int"))) + ", more boolean"
+
+
+def witnesses(percent: int, most: int | None):
+    """Rows by word and salt -> (later line, earlier line, whether the later one has to ask again).
+
+    ``most``: earlier lines that a line sends, None for all; lines of a block that isn't the whole run
+    ask again, a pair with themselves says so.  Only rows with ``asks`` set are later lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["key", "doc_id", "h", "line", "n", "pos", "s", "asks"]
+        names, before = [x.split()[0] for x in PAIRS.split(", ")], None
+        for key, doc_id, h, line, n, pos, s, asks in runs(batches, columns, None if most is None else PART):
+            n, pos, s = n.astype(np.int64), pos.astype(np.int64), s.view(np.uint64)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            left, right, more = [], [], []
+            for lo, hi in zip(starts, np.append(starts[1:], len(key))):
+                if hi - lo < 2 and not (lo == 0 and key[0] == before):
+                    continue
+                order = lo + np.lexsort((line[lo:hi], h[lo:hi], doc_id[lo:hi]))
+                own = [x[order] for x in (n, pos, s)]
+                later = np.flatnonzero(asks[order])
+                for i in later[later > 0]:
+                    found = passing(*own, i, 0, i, percent)
+                    if len(found):
+                        kept = found if most is None else found[:most]
+                        left.append(np.full(len(kept), order[i]))
+                        right.append(order[kept])
+                        more.append(np.full(len(kept), len(kept) < len(found)))
+                if most is not None and (hi - lo >= PART or lo == 0 and key[0] == before):
+                    left.append(order)
+                    right.append(order)
+                    more.append(np.ones(len(order), dtype=bool))
+            before = key[-1]
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in (a, b) for x in (doc_id, h, line)] + [pa.array(np.concatenate(more))], names=names)
+
+    return run
+
+
+def wanted_sets(min_words: int):
+    """doc_id, h, lines, text -> doc_id, h, line, words (bytes) of the lines named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            rows = []
+            for doc_id, h, lines, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                lines = set(lines)
+                rows += [(doc_id, h, i, tokens.tobytes()) for i, tokens in line_sets(text, words, min_words) if i in lines]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=[*AT, "words"])
+
+    return run
+
+
+def similar(percent: int):
+    """doc_id, h, line, u, v -> the lines whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for u, v in zip(batch.column(3), batch.column(4)):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (u, v))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=AT).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
-SLOTS = 1 << 17
-#: Runs of a first word up to this length are joined with themselves at once.
-RUN = 64
-#: Bits of a packed word: 6 of rarity, 56 of its hash.
-HASH_BITS = 56
-
-
-def spaced(text: Column) -> Column:
-    """Lower case, with tabs and the like as spaces; newlines stay.  A plain replacement is many times faster than a pattern."""
-    text = F.lower(text)
-    for c in "\t\v\f\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
-
-def hashes(line: Column, make=lambda x: x) -> Column:
-    """``make`` of the hashes of a line's distinct words."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: make(F.xxhash64(w))))
-
-
-def with_lines(docs: DataFrame, min_words: int, words=hashes) -> DataFrame:
-    """doc_id, h (hash of the text), line, words: the distinct words of each line, as hashes; lines of too few words left out.
-
-    The words are made inside the generator, so once: a filter or a projection on them would make them again."""
-    lines = F.transform(F.split(spaced(F.col("text")), "\n"), lambda line: words(line))
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(lines).alias("line", "words")).filter(F.size("words") >= min_words)
-
-
-def rarity(docs: DataFrame) -> Column:
-    """A byte for each of SLOTS: 32 and a logarithm of how often words of the slot occur.  A literal of fixed size."""
-    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    table = bytearray(b" " * SLOTS)
-    for slot, level in counts.select("slot", F.least(F.lit(63), F.floor(F.log2("n") * 1.5) + 1).cast("int")).toLocalIterator():
-        table[slot] = 32 + level
-    return F.lit(bytes(table))
-
-
-def ranked(levels: Column):
-    """Words of a line, each with its rarity in the top bits, in that order."""
-    level = lambda x: F.ascii(F.substring(levels, F.pmod(x, F.lit(SLOTS)).cast("int") + 1, 1).cast("string")) - 32
-    tag = lambda x: F.shiftleft(level(x).cast("long"), HASH_BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    return lambda line: F.sort_array(hashes(line, tag))
 
-
-def sketch(words: Column) -> Column:
-    """64 bits: those that words hash to."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
-
-
-def required(n: Column, m: Column, percent: int) -> Column:
-    """The least overlap of similar sets of these sizes."""
-    return F.ceil(percent * (n + m) / F.lit(100 + percent))
-
-
-def passes(a: str, b: str, percent: int) -> Column:
-    """Length, position and sketch filters for the rows aliased ``a`` and ``b`` that share a word."""
-    c = lambda t, x: F.col(f"{t}.{x}")
-    n, m = c(a, "n"), c(b, "n")
-    most = F.least(c(a, "pos"), c(b, "pos")) + 1 + F.least(n - c(a, "pos") - 1, m - c(b, "pos") - 1)
-    differ = F.bit_count(c(a, "s").bitwiseXOR(c(b, "s")))
-    return (100 * n >= percent * m) & (100 * m >= percent * n) & (most >= required(n, m, percent)) & (differ <= n + m - 2 * required(n, m, percent))
-
-
-AT = ("doc_id", "h", "line")
-
-
-def place(t: str) -> Column:
-    return F.struct(*[F.col(f"{t}.{c}") for c in AT])
+def verified(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """The later lines of the pairs that are similar, by their words."""
+    one = [pairs.select(*[F.col(f"{c}{i}").alias(c) for c in AT]) for i in (1, 2)]
+    lines = one[0].union(one[1]).groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines"))
+    texts = lines.join(docs, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "lines", "text")
+    sets = staged(texts.mapInArrow(wanted_sets(min_words), "doc_id long, h int, line int, words binary"), "words")
+    u = sets.select(*[F.col(c).alias(f"{c}1") for c in AT], F.col("words").alias("u"))
+    v = sets.select(*[F.col(c).alias(f"{c}2") for c in AT], F.col("words").alias("v"))
+    both = pairs.join(u, [f"{c}1" for c in AT]).join(v, [f"{c}2" for c in AT]).select(*[F.col(f"{c}1").alias(c) for c in AT], "u", "v")
+    return both.mapInArrow(similar(percent), "doc_id long, h int, line int").distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
-    """doc_id, h, line of the lines to remove (of repeated rows: those of one of them)."""
-    docs = docs.select("doc_id", "text")
-    levels = rarity(docs)
-    copies = staged(equal_lines(docs, min_words), "copies")
-    n = F.size("words")
-    first = F.slice("words", 1, (n - F.ceil(percent * n / F.lit(100)) + 1).cast("int"))
-    lines = with_lines(docs, min_words, ranked(levels)).select(*AT, n.alias("n"), sketch(F.col("words")).alias("s"), first.alias("first"))
-    rows = lines.select(*AT, "n", "s", F.posexplode("first").alias("pos", "word"))
-    rows = rows.withColumn("word", F.hash("word"))  # a shorter key; what it mixes up, verification sorts out
-    # one exchange serves both sides of the join below and the long runs
-    runs = rows.repartition("word").withColumn("run", F.count(F.lit(1)).over(Window.partitionBy("word")))
-    short, long = runs.filter(F.col("run").between(2, RUN)), runs.filter(F.col("run") > RUN)
-    pairs = candidates(short, short, percent)
-    pairs = staged(pairs.join(copies, [F.col(f"later.{c}") == copies[c] for c in AT], "left_anti"), "pairs")
-    near = staged(verified(docs, pairs, percent, min_words), "near")
-
-    # long runs: copies and near copies by the thousand, and words that many lines have among their rarest
-    long = staged(long.drop("run"), "long")
-    heads = long.groupBy("word").agg(F.min(F.struct(*AT, "n", "s", "pos")).alias("e")).select("word", "e.*")
-    done = copies.union(near).distinct()
-    left = long.join(done, list(AT), "left_anti")
-    more = staged(verified(docs, staged(candidates(left, heads, percent), "pairs"), percent, min_words), "near")
-    left = left.join(more, list(AT), "left_anti")
-    rest = staged(verified(docs, staged(candidates(left, long, percent), "pairs"), percent, min_words), "near")
-    return done.union(more).union(rest).distinct()
-
-
-def candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """later, earlier: lines of ``x`` with earlier ones of ``y`` under the same word, filtered."""
-    both = x.alias("x").join(y.alias("y"), F.col("x.word") == F.col("y.word")).filter((place("y") < place("x")) & passes("x", "y", percent))
-    return both.select(place("x").alias("later"), place("y").alias("earlier")).distinct()
-
-
-def equal_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, h, line of lines that an earlier line equals but for case (lines of too few words among them)."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    lines = lines.filter(F.length("s") >= 2 * min_words - 1).select(F.xxhash64(F.lower("s")).alias("key"), F.struct(*AT).alias("at"))
-    least = lines.groupBy("key").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return lines.join(least, "key").filter("at != first_at").select("at.*")
-
-
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """doc_id, h, line of the later lines of pairs whose Jaccard similarity is high enough, by their words."""
-    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct().select("at.*")
-    texts = docs.withColumn("h", F.xxhash64("text")).join(wanted.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
-    sets = with_lines(texts.select("doc_id", "text"), min_words).join(wanted, list(AT)).select(F.struct(*AT).alias("at"), "words")
-    sets = staged(sets, "words")
-    a, b = sets.select(F.col("at").alias("later"), F.col("words").alias("u")), sets.select(F.col("at").alias("earlier"), F.col("words").alias("v"))
-    both = F.size(F.array_intersect("u", "v"))
-    return pairs.join(a, "later").join(b, "earlier").filter(100 * both >= percent * (F.size("u") + F.size("v") - both)).select("later.*").distinct()
+    """``docs``: doc_id, h, text.  doc_id, h, line of the lines to remove (of repeated rows: those of one of them)."""
+    found = staged(docs.mapInArrow(describe(min_words), "kind int, doc_id long, h int, line int, value long"), "lines")
+    counts = found.filter("kind = 1").groupBy("doc_id").agg(F.sum("value").alias("n")).toPandas()  # SLOTS rows at most
+    levels = np.zeros(SLOTS, dtype=np.uint8)
+    if len(counts):
+        levels[counts["doc_id"].to_numpy()] = np.minimum(127, np.ceil(2 * np.log2(counts["n"].to_numpy()))).astype(np.uint8)
+    lines = found.filter("kind = 0").select(F.col("value").alias("key"), F.struct(*AT).alias("at"))
+    first = lines.groupBy("key").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    done = staged(lines.join(first, "key").filter("at != first_at").select("at.*").distinct(), "copies")
+
+    rows = docs.mapInArrow(first_words(min_words, percent, levels), ROWS)
+    own = rows.select(F.col("word").alias("key"), *ROW, F.lit(True).alias("asks"))
+    pairs = own.repartition("key").sortWithinPartitions("key").mapInArrow(witnesses(percent, WITNESSES), PAIRS)
+    later, earlier = ([f"{c}{i}" for c in AT] for i in (1, 2))
+    pairs = pairs.groupBy(*later, *earlier).agg(F.max("more").alias("more"))
+    pairs = staged(pairs.join(done.select(*[F.col(c).alias(f"{c}1") for c in AT]), later, "left_anti"), "pairs")
+    itself = F.struct(*later) == F.struct(*earlier)
+    done = staged(done.union(verified(docs, pairs.filter(~itself), percent, min_words)).distinct(), "done")
+
+    # lines with more witnesses than they sent, and lines of runs that went through in blocks
+    asks = pairs.filter("more").select(*[F.col(f"{c}1").alias(c) for c in AT]).distinct()
+    asks = staged(asks.join(done, AT, "left_anti"), "rest")
+    if not asks.isEmpty():
+        asking = staged(rows.join(asks, AT, "left_semi"), "asking")
+        asked = staged(rows.join(asking.select("word").distinct(), "word", "left_semi"), "asked")
+        salts = asked.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("salts"))
+        parts = asking.join(salts, "word").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        asked = asked.join(salts, "word").withColumn("salt", F.pmod(F.hash(*AT), F.col("salts")))
+        key = (F.col("word").cast("long") * (1 << 24) + F.col("salt")).alias("key")
+        both = asked.select(key, *ROW, F.lit(False).alias("asks")).union(parts.select(key, *ROW, F.lit(True).alias("asks")))
+        pairs = both.repartition("key").sortWithinPartitions("key").mapInArrow(witnesses(percent, None), PAIRS)
+        pairs = staged(pairs.filter(~itself).drop("more").distinct(), "pairs")
+        done = done.union(verified(docs, pairs, percent, min_words)).distinct()
+    return done
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details: bool = False, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the lines removed from ``text``; with ``details``, n_lines and n_removed follow.
 
     ``drop_emptied``: documents that lose lines and keep no word go (copies of earlier ones, mostly)."""
-    gone = removed_lines(docs, percent, min_words).groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
-    x, g = docs.withColumn("__h", F.xxhash64("text")).alias("x"), gone.alias("g")
-    joined = x.join(g, F.col("x.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("x.__h") == F.col("g.h")), "left")
-    nth = F.row_number().over(Window.partitionBy("x.doc_id", "x.__h").orderBy("x.__h"))
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    # where no doc_id occurs twice, it is enough to name a document
+    twice = not docs.groupBy(doc_id.alias("doc_id")).count().filter("count > 1").isEmpty()
+    key = [doc_id, F.hash("text") if twice else F.lit(0)]
+    gone = removed_lines(docs.select(key[0].alias("doc_id"), key[1].alias("h"), "text"), percent, min_words)
+    gone = gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
+    x, g = docs.withColumns({"__id": key[0], "__h": key[1]}).alias("x"), gone.alias("g")
+    joined = x.join(g, (F.col("x.__id") == F.col("g.doc_id")) & (F.col("x.__h") == F.col("g.h")), "left")
+    nth = F.row_number().over(Window.partitionBy("x.__id", "x.__h").orderBy("x.__h"))
     lines = F.split(F.col("x.text"), "\n")
-    words = lambda s: F.size(hashes(spaced(s)))
-    kept = F.when(nth > 1, F.filter(lines, lambda s: words(s) < min_words)).when(F.col("g.gone").isNull(), lines).otherwise(F.filter(lines, lambda s, i: ~F.array_contains(F.col("g.gone"), i) | (words(s) < min_words)))
+    words = lambda s: F.size(F.array_distinct(F.array_remove(F.split(F.lower(s), "[ \\x09-\\x0D]+"), "")))
+    kept = F.when(nth > 1, F.filter(lines, lambda s: words(s) < min_words)).when(F.col("g.gone").isNull(), lines).otherwise(F.filter(lines, lambda s, i: ~F.array_contains(F.col("g.gone"), i)))
     out = joined.withColumn("__kept", kept)
     text = F.when(F.col("x.text").isNotNull(), F.array_join("__kept", "\n")).alias("text")
     columns = [text if c == "text" else F.col(f"x.`{c}`") for c in docs.columns]

@@ -127,17 +127,23 @@ def prefixes(size: int, percent: int, levels: np.ndarray):
     return run
 
 
-def runs(batches: Iterator[pa.RecordBatch], columns: list[str]):
-    """Batches of whole runs of equal tokens, from rows sorted by token; a run longer than a batch comes in parts, ``more`` set."""
+def runs(batches: Iterator[pa.RecordBatch], columns: list[str], block: int | None = None):
+    """Batches of whole runs of equal keys (the first column), from rows sorted by it; runs longer than ``block`` come in
+    blocks of that size or more."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
+        if not len(cols[0]):
+            continue
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols)]
         last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
         if last:
             yield [c[:last] for c in cols]
         rest = [c[last:] for c in cols]
+        if block and len(rest[0]) >= block:
+            yield rest
+            rest = None
     if rest is not None and len(rest[0]):
         yield rest
 
