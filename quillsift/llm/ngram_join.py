@@ -4,8 +4,8 @@ Order: shingles that many documents have come last (by a count sketch of bounded
 documents), the rest by hash.  Two sets with the least similarity share one of their first
 ``n - ceil(t n) + 1`` shingles, so the tree is split over the cluster by these first shingles.  Sets that
 are equal are one node from the start.  For each first shingle the sets under it are held against the
-smallest of them, then, as far as their components still differ, against each other, by length
-and position.  What passes is verified in a trie: the sets to be held against one set arrive in
+others by length and position; where very many stand under one, first against the smallest of them and their
+neighbours, then, as far as their components still differ, against each other.  What passes is verified in a trie: the sets to be held against one set arrive in
 lexicographic order, which is the depth-first order of their trie; overlaps of the shared path are
 kept, and a branch ends where the rest of the lengths can't reach the overlap that is needed.
 Components come from alternating large and small stars.
@@ -20,7 +20,6 @@ extra columns are not carried.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,39 +28,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES_LOWER, staged
+from .common import staged
+from .words import Hashed, roll, slices
 
-SLOTS = 1 << 20
-find = re.compile(rb"[^\x20\x09-\x0D]+").findall
+#: Slots of the count sketch; 24 bits of a shingle's hash.
+SLOTS = 1 << 24
+SHIFT = np.uint64(40)
+#: Sets under a first shingle up to this number are held against each other at once.
+RUN = 64
 
 
-class Words(dict):
-    """Digests of words, a bounded cache."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str | None, size: int, words: Words) -> np.ndarray:
-    """Distinct shingles of the whole text as 64-bit digests, ascending."""
-    found = find(text.encode("utf-8", "replace").translate(BYTES_LOWER)) if text else []
-    h = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found))
-    if not len(h):
-        return h
-    n = max(1, len(h) - size + 1)
-    x = np.full(n, np.uint64(min(size, len(h))))
-    for i in range(min(size, len(h))):
-        x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return np.unique(mix64(x))
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Distinct shingles of each whole text as 64-bit hashes, ascending."""
+    words = Hashed(column)
+    every, starts = words.rolled(size), words.starts.tolist()
+    for lo, hi in zip(starts, starts[1:]):
+        if hi - lo >= size:
+            yield np.unique(every[lo : hi - size + 1])
+        else:
+            yield np.array([roll(words.hashes[lo:hi])] if hi > lo else [], dtype=np.uint64)
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -77,31 +62,33 @@ def describe(size: int):
     """doc_id, text_hash, text -> kind 0: doc_id, text_hash, set key, set size; kind 1: slot and count of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, slots = Words(), set(), np.zeros(SLOTS, dtype=np.int64)
+        seen, slots, total = set(), np.zeros(SLOTS, dtype=np.uint32), 0
         names = ["kind", "a", "b", "c", "d"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys, sizes = [], []
-                for text in part.column(2).to_pylist():
-                    tokens = shingle_set(text, size, words)
+            for part in slices(batch, 2):
+                keys, sizes, new = [], [], []
+                for tokens in shingle_sets(part.column(2), size):
                     keys.append(key := set_key(tokens))
                     sizes.append(len(tokens))
                     if key not in seen:
                         seen.add(key)
-                        slots += np.bincount((tokens >> np.uint64(44)).astype(np.int64), minlength=SLOTS) if len(tokens) > 50_000 else 0
-                        if len(tokens) <= 50_000:
-                            np.add.at(slots, (tokens >> np.uint64(44)).astype(np.int64), 1)
+                        new.append(tokens)
+                if new:
+                    slot, n = np.unique(np.concatenate(new) >> SHIFT, return_counts=True)
+                    slots[slot.astype(np.int64)] += n.astype(np.uint32)
+                    total += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), dtype=np.int32)), part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=names)
-        hot = np.flatnonzero(slots >= max(8, 6 * slots.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hot), 1, dtype=np.int32)), pa.array(hot), pa.array(slots[hot]), pa.array(np.zeros(len(hot), dtype=np.int64)), pa.array(np.zeros(len(hot), dtype=np.int64))], names=names)
+        mean = total / SLOTS  # what stands out from chance
+        hot = np.flatnonzero(slots >= 3 + mean + 4 * mean**0.5)
+        zero = np.zeros(len(hot), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(hot), pa.array(slots[hot].astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
 
     return run
 
 
 def ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Tokens in the global order: 6 bits of frequency, then 58 of the digest."""
-    level = levels[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
+    level = levels[(tokens >> SHIFT).astype(np.int64)].astype(np.uint64)
     return np.sort((level << np.uint64(58)) | (tokens & np.uint64((1 << 58) - 1)))
 
 
@@ -109,12 +96,11 @@ def prefixes(size: int, percent: int, levels: np.ndarray):
     """doc_id, text_hash, text -> token, set, n, pos for the first tokens of each set that the task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), set()
+        seen = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for part in slices(batch, 2):
                 cols: list[list] = [[], [], [], []]
-                for text in batch.column(2).slice(at, 256).to_pylist():
-                    tokens = shingle_set(text, size, words)
+                for tokens in shingle_sets(part.column(2), size):
                     key, n = set_key(tokens), len(tokens)
                     if n and key not in seen:
                         seen.add(key)
@@ -154,29 +140,41 @@ def possible(n1, p1, n2, p2, percent: int) -> np.ndarray:
     return (100 * n1 >= percent * n2) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
-def stars(percent: int):
-    """Rows by token, n, set -> pairs (smallest set, other set) under each token, and the rows of tokens with two sets or more."""
+def candidates(percent: int):
+    """Rows by token -> kind 0: pairs (a, b) of sets under a token; kind 1: token, set, n, pos of tokens with very many sets,
+    of which only the pairs with the smallest set and of neighbours are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, 0, 0, 0)  # token, set, n, pos of the run's smallest set so far
-        for batch in batches:
-            token, key, n, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            new = np.append(token[0] != last[0], token[1:] != token[:-1])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-            pick = lambda x, was: np.where(head >= 0, x[np.maximum(head, 0)], was)
-            a, na, pa_ = pick(key, last[1]), pick(n, last[2]), pick(pos, last[3])
-            keep = (a != key) & possible(na.astype(np.int64), pa_.astype(np.int64), n.astype(np.int64), pos.astype(np.int64), percent)
-            # also chain neighbours: a set too long for the smallest may be near the one before it
-            before = np.append(last[1] if not new[0] else key[0], key[:-1])
-            nb, pb = np.append(n[0], n[:-1]).astype(np.int64), np.append(pos[0], pos[:-1]).astype(np.int64)
-            chain = ~new & (before != key) & (before != a) & possible(nb, pb, n.astype(np.int64), pos.astype(np.int64), percent)
-            chain[0] = False
-            left, right = np.concatenate([a[keep], before[chain]]), np.concatenate([key[keep], key[chain]])
-            lo, hi = np.minimum(left, right), np.maximum(left, right)
-            pairs = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), dtype=np.int64)
-            i = head[-1]
-            last = (token[-1], *((key[i], n[i], pos[i]) if i >= 0 else last[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        names, before = ["kind", "a", "b", "n", "pos"], None
+        for token, key, n, pos in runs(batches, ["token", "set", "n", "pos"], 1 << 20):
+            order = np.lexsort((key, n, token))
+            same = np.append(False, (token[order][1:] == token[order][:-1]) & (key[order][1:] == key[order][:-1]))
+            order = order[~same]  # copies from several tasks
+            t, k, m, p = token[order], key[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+            starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            sizes = np.diff(np.append(starts, len(t)))
+            size, start = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+            large = (size > RUN) | (t == before)  # or the rest of a run that came before
+            before = t[-1]
+            left, right = [], []
+            first = np.flatnonzero(large & (start != np.arange(len(t))))
+            left.append(start[first])
+            right.append(first)
+            at = np.arange(len(t))
+            for step in range(1, RUN):
+                at = at[(at + step < len(t))]
+                at = at[(t[np.minimum(at + step, len(t) - 1)] == t[at]) & (~large[at] | (step == 1))]
+                if not len(at):
+                    break
+                left.append(at)
+                right.append(at + step)
+            a, b = np.concatenate(left), np.concatenate(right)
+            hit = possible(m[a], p[a], m[b], p[b], percent)
+            a, b = k[a[hit]], k[b[hit]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+            i = np.flatnonzero(large)
+            zero = np.zeros(len(pairs), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((zero, np.ones(len(i), dtype=np.int32)), (pairs[:, 0], t[i]), (pairs[:, 1], k[i]), (zero, m[i].astype(np.int32)), (zero, p[i].astype(np.int32)))], names=names)
 
     return run
 
@@ -212,11 +210,9 @@ def members(size: int, levels: np.ndarray):
     """doc_id, set, text -> set, its tokens in the global order as big-endian bytes (which sort as a trie is walked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                data = [ordered(shingle_set(t, size, words), levels).astype(">u8").tobytes() for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1):
+                data = [ordered(tokens, levels).astype(">u8").tobytes() for tokens in shingle_sets(part.column(1), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["set", "tokens"])
 
     return run
@@ -290,24 +286,25 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     found = staged(docs.mapInArrow(describe(size), "kind int, a long, b long, c long, d long"), "sets")
     rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("text_hash"), F.col("c").alias("set"), F.col("d").alias("n_shingles"))
-    hot = found.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toPandas()  # SLOTS rows at most
+    hot = found.filter("kind = 1").groupBy("a").agg(F.sum("b").cast("int").alias("b")).select(F.col("a").cast("int").alias("a"), "b").toPandas()  # SLOTS rows at most
     levels = np.zeros(SLOTS, dtype=np.uint8)
     if len(hot):
         levels[hot["a"].to_numpy()] = np.minimum(63, 1 + np.floor(np.log2(hot["b"].to_numpy()))).astype(np.uint8)
     first = docs.mapInArrow(prefixes(size, percent, levels), "token long, set long, n int, pos int")
-    listed = staged(first, "first")  # read twice: for stars, and across components
-    stars_of = listed.repartition("token").sortWithinPartitions("token", "n", "set").mapInArrow(stars(percent), "a long, b long")
-    pairs = staged(stars_of.distinct(), "pairs")
+    both = staged(first.repartition("token").sortWithinPartitions("token").mapInArrow(candidates(percent), "kind int, a long, b long, n int, pos int"), "candidates")
+    pairs = staged(both.filter("kind = 0").select("a", "b").distinct(), "pairs")
     links = staged(check(docs, rows, pairs, size, percent, levels), "links")
-    comps = staged(components(links), "components")
+    comps = components(links)
     comp = F.coalesce("comp", "set").alias("comp")
-    with_comp = listed.join(comps.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "pos", comp)
-    mixed = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-    more = with_comp.join(mixed, "token").repartition("token").sortWithinPartitions("token").mapInArrow(across(percent), "a long, b long")
-    more = staged(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.union(check(docs, rows, more, size, percent, levels))
-        comps = staged(components(links), "components")
+    large = both.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("set"), "n", "pos")
+    if not large.isEmpty():
+        with_comp = staged(large.join(comps.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "pos", comp), "large")
+        mixed = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
+        more = with_comp.join(mixed, "token").repartition("token").sortWithinPartitions("token").mapInArrow(across(percent), "a long, b long")
+        more = staged(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = links.union(check(docs, rows, more, size, percent, levels))
+            comps = components(links)
     nodes = rows.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(comps.withColumnRenamed("node", "set"), "set", "left").select("set", "doc", comp)
     least = nodes.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = nodes.join(least, "comp").select("set", "component_id")
