@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines.
 
-A line is the set of its words (runs of anything but ASCII white space, lower case).  It is removed if an earlier
+A line is the set of its words (runs of anything but ASCII white space, A-Z lower-cased).  It is removed if an earlier
 line, by doc_id and place, has a Jaccard similarity of 0.8 or more with it; what counts is the input, so
 a line that is removed itself still removes later ones.  Lines of fewer than ``min_words`` distinct words
 stay and remove nothing.
@@ -23,7 +23,6 @@ no rows; extra columns stay as they are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .ngram_join import Words, mix64, runs, set_key
+from .ngram_join import runs, set_key
+from .words import Hashed, mix64, slices
 
 SLOTS = 1 << 20
 SHIFT = np.uint64(44)
@@ -43,30 +43,37 @@ PART = 1 << 14
 NO_ID = -(1 << 63)
 AT = ["doc_id", "h", "line"]
 ROW = [*AT, "n", "pos", "s"]
-find = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
-def line_sets(text: str | None, words: Words, min_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(line number, distinct word hashes ascending) of each line with words enough."""
-    for i, line in enumerate(text.split("\n") if text else ()):
-        if len(line) >= 2 * min_words - 1:
-            found = set(find(line.lower().encode("utf-8", "replace")))
-            if len(found) >= min_words:
-                yield i, np.sort(np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found)))
+def line_sets(column: pa.Array, min_words: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, line number, distinct word hashes ascending) of each line with words enough."""
+    words = Hashed(column, with_lines=True)
+    row = np.repeat(np.arange(len(column)), np.diff(words.starts))
+    line = words.lines + row
+    order = np.lexsort((words.hashes, line))
+    line, row, tokens = line[order], row[order], words.hashes[order]
+    new = np.append(True, (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1]))[: len(line)]
+    line, row, tokens = line[new], row[new], tokens[new]
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))[: len(line)]
+    sizes = np.diff(np.append(first, len(line)))
+    enough = sizes >= min_words
+    numbers = line[first] - row[first] - words.row_breaks[row[first]]
+    for r, number, lo, n in zip(*(x[enough].tolist() for x in (row[first], numbers, first, sizes))):
+        yield r, number, tokens[lo : lo + n]
 
 
 def describe(min_words: int):
     """doc_id, h, text -> kind 0: doc_id, h, line, set key; kind 1: slot and count of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, slots, names = Words(), np.zeros(SLOTS, dtype=np.int64), ["kind", "doc_id", "h", "line", "value"]
+        slots, names = np.zeros(SLOTS, dtype=np.int64), ["kind", "doc_id", "h", "line", "value"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, rows, sets = batch.slice(at, 512), [], []
-                for doc_id, h, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    for line, tokens in line_sets(text, words, min_words):
-                        rows.append((0, doc_id, h, line, set_key(tokens)))
-                        sets.append(tokens)
+            for part in slices(batch, 2):
+                rows, sets = [], []
+                ids, h = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for row, line, tokens in line_sets(part.column(2), min_words):
+                    rows.append((0, ids[row], h[row], line, set_key(tokens)))
+                    sets.append(tokens)
                 if rows:
                     slot, n = np.unique((np.concatenate(sets) >> SHIFT).astype(np.int64), return_counts=True)
                     slots[slot] += n
@@ -85,23 +92,22 @@ def first_words(min_words: int, percent: int, levels: np.ndarray):
     """doc_id, h, text -> a row for each first word of each line, sets that the task has met left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), set()
-        names = [x.split()[0] for x in ROWS.split(", ")]
+        seen, names = set(), [x.split()[0] for x in ROWS.split(", ")]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, firsts, lines = batch.slice(at, 512), [], []
-                for doc_id, h, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    for line, tokens in line_sets(text, words, min_words):
-                        key, n = set_key(tokens), len(tokens)
-                        if key in seen:
-                            continue
-                        seen.add(key)
-                        level = levels[(tokens >> SHIFT).astype(np.int64)]
-                        ordered = np.sort((level.astype(np.uint64) << np.uint64(57)) | (tokens & np.uint64((1 << 57) - 1)))
-                        first = ordered[: n - (percent * n + 99) // 100 + 1]
-                        sketch = np.bitwise_or.reduce(np.uint64(1) << (tokens & np.uint64(63)))
-                        firsts.append(first)
-                        lines.append((doc_id, h, line, n, sketch, len(first)))
+            for part in slices(batch, 2):
+                firsts, lines = [], []
+                ids, h = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for row, line, tokens in line_sets(part.column(2), min_words):
+                    key, n = set_key(tokens), len(tokens)
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    level = levels[(tokens >> SHIFT).astype(np.int64)]
+                    ordered = np.sort((level.astype(np.uint64) << np.uint64(57)) | (tokens & np.uint64((1 << 57) - 1)))
+                    first = ordered[: n - (percent * n + 99) // 100 + 1]
+                    sketch = np.bitwise_or.reduce(np.uint64(1) << (tokens & np.uint64(63)))
+                    firsts.append(first)
+                    lines.append((ids[row], h[row], line, n, sketch, len(first)))
                 if not firsts:
                     continue
                 word, sizes = np.concatenate(firsts), np.array([x[5] for x in lines])
@@ -172,12 +178,11 @@ def wanted_sets(min_words: int):
     """doc_id, h, lines, text -> doc_id, h, line, words (bytes) of the lines named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             rows = []
-            for doc_id, h, lines, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                lines = set(lines)
-                rows += [(doc_id, h, i, tokens.tobytes()) for i, tokens in line_sets(text, words, min_words) if i in lines]
+            for part in slices(batch, 3):
+                ids, h, lines = part.column(0).to_pylist(), part.column(1).to_pylist(), [set(x) for x in part.column(2).to_pylist()]
+                rows += [(ids[r], h[r], i, tokens.tobytes()) for r, i, tokens in line_sets(part.column(3), min_words) if i in lines[r]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=[*AT, "words"])
 
     return run
