@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_root, staged
-from .ngram_join import Words, mix64
+from .words import Hashed, slices
 
 WINDOW = 20
 ANCHOR = 8
@@ -38,43 +38,28 @@ NO_ID = -(1 << 63)
 find = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
-def fingerprints(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each window, place of its anchor, hash of each anchor's words."""
-    found = find(text.encode("utf-8", "replace")) if text else []
-    if len(found) < WINDOW:
-        none = np.zeros(0, dtype=np.uint64)
-        return none, none.astype(np.int64), none
-    h = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found))
-
-    def rolled(k: int) -> np.ndarray:
-        n = len(h) - k + 1
-        x = np.full(n, np.uint64(k))
-        for i in range(k):
-            x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-        return mix64(x)
-
-    short = rolled(ANCHOR)
-    n = len(h) - WINDOW + 1
-    span = WINDOW - ANCHOR + 1
-    # the leftmost least of each span, by doubling
-    at = np.arange(len(short))
-    reach, least = 1, at
-    while reach * 2 <= span:
-        a, b = least[: len(least) - reach], least[reach:]
-        least, reach = np.where(short[b] < short[a], b, a), reach * 2
-    a, b = least[:n], least[span - reach : span - reach + n]
-    place = np.where(short[b] < short[a], b, a)
-    return rolled(WINDOW), place, short
+def fingerprints(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: hash of each window, place of its anchor, hash of each anchor's words."""
+    words = Hashed(column, lower=False)
+    full, short, starts = words.rolled(WINDOW), words.rolled(ANCHOR), words.starts.tolist()
+    for lo, hi in zip(starts, starts[1:]):
+        n = max(0, hi - lo - WINDOW + 1)
+        own = short[lo : hi - ANCHOR + 1] if n else short[:0]
+        # the leftmost least of the anchors in each window, by doubling
+        least, reach, span = np.arange(len(own)), 1, WINDOW - ANCHOR + 1
+        while n and reach * 2 <= span:
+            a, b = least[: len(least) - reach], least[reach:]
+            least, reach = np.where(own[b] < own[a], b, a), reach * 2
+        a, b = least[:n], least[span - reach : span - reach + n]
+        yield full[lo : lo + n], np.where(own[b] < own[a], b, a), own
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, h, text -> anchor, doc_id, h, n (places in the document)."""
-    words = Words()
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part, cols = batch.slice(at, 128), [[], [], [], []]
-            for doc_id, h, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                _, place, short = fingerprints(text, words)
+        for part in slices(batch, 2):
+            cols = [[], [], [], []]
+            for doc_id, h, (_, place, short) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), fingerprints(part.column(2))):
                 if len(place):
                     found, n = np.unique(short[place[np.append(True, place[1:] != place[:-1])]].view(np.int64), return_counts=True)
                     for col, x in zip(cols, (found, np.full(len(found), doc_id), np.full(len(found), h, dtype=np.int32), n.astype(np.int32))):
@@ -85,13 +70,10 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, h, met (anchors), text -> window, doc_id, h, start of the windows at these anchors."""
-    words = Words()
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part, cols = batch.slice(at, 128), [[], [], [], []]
-            met = part.column(2)
-            for i, (doc_id, h, text) in enumerate(zip(*(part.column(j).to_pylist() for j in (0, 1, 3)))):
-                full, place, short = fingerprints(text, words)
+        for part in slices(batch, 3):
+            cols, met = [[], [], [], []], part.column(2)
+            for i, (doc_id, h, (full, place, short)) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), fingerprints(part.column(3)))):
                 known = np.sort(met[i].values.to_numpy(zero_copy_only=False).astype(np.int64))
                 own = short[place].view(np.int64)
                 j = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -205,7 +187,10 @@ def strip(with_text: bool):
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and kept, the words left, one space apart)."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("h"), "text")
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    # where no doc_id occurs twice, it is enough to name a document
+    twice = not docs.groupBy(doc_id).count().filter("count > 1").isEmpty()
+    keyed = docs.select(doc_id, (F.hash("text") if twice else F.lit(0)).alias("h"), "text")
     found = repeats(keyed, batches)
     rows = keyed.join(found, ["doc_id", "h"], "left").select("doc_id", "starts", "text")
     out = rows.mapInArrow(strip(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
