@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 WIDTH = 64
 #: Rows in a stretch of neighbouring doc_ids, about.
 STRETCH = 512
+#: So many stretches are sent to all tasks, 40 bytes each; more are joined.
+SMALL = 200_000
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 
 
 def word_hashes(text: Column) -> Column:
@@ -63,15 +67,18 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fp, next text and fingerprint for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text and the next row's text for every row of ``docs`` (doc_id, text), by descending doc_id; after the last the first.
+
+    Rows are dealt out by stretches of doc_ids and looked up there; the last row of each stretch gets
+    the first of the next stretch by a join.  Only the stretches, a row each, are put in one order."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     stretches = max(1, (n or 0) // STRETCH)
     width = max(1, (hi // stretches - lo // stretches) + 1) if n else 1
     keyed = docs.withColumn("s", F.expr(f"doc_id DIV {width}L")).withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("s").orderBy(F.desc("doc_id"), "h")
-    full = keyed.withColumn("fp", fingerprint(F.col("text")))
-    inside = full.withColumn("next", F.lead(F.struct("text", "fp")).over(order)).filter(F.col("next").isNotNull()).select("doc_id", "text", "fp", "next")
+    # the texts alone are shuffled: a fingerprint is quicker made again than moved
+    inside = keyed.withColumn("next", F.lead("text").over(order)).filter(F.col("next").isNotNull()).select("doc_id", "text", "next")
 
     # the last row of each stretch, and the first of the stretch after it: narrow rows
     ends = keyed.groupBy("s").agg(F.min(F.struct(F.col("doc_id"), (-F.col("h").cast("decimal(20,0)")).alias("k"), "h")).alias("last"), F.max(F.struct(F.col("doc_id"), (-F.col("h").cast("decimal(20,0)")).alias("k"), "h")).alias("first"))
@@ -79,10 +86,12 @@ def with_edits(docs: DataFrame) -> DataFrame:
     top = ends.agg(F.max_by("first", "s").alias("top"))
     pairs = ends.select("last", F.lead("first").over(down).alias("first")).join(F.broadcast(top), F.lit(True))
     pairs = pairs.select(F.col("last.doc_id").alias("doc_id"), F.col("last.h").alias("h"), F.coalesce("first", "top").alias("first"))
-    heads = pairs.select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
-    head_rows = keyed.join(heads.distinct(), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select(F.struct("doc_id", "h").alias("head"), F.struct("text", fingerprint(F.col("text")).alias("fp")).alias("next"))
-    last_rows = keyed.join(pairs, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).withColumn("head", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")))
-    across = last_rows.join(head_rows, "head").select("doc_id", "text", fingerprint(F.col("text")).alias("fp"), "next")
+    # a row per stretch: small enough to send along, or else a join
+    sent = F.broadcast if stretches <= SMALL else (lambda df: df)
+    heads = sent(pairs.select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).distinct())
+    head_rows = keyed.join(heads, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select(F.struct("doc_id", "h").alias("head"), F.col("text").alias("next"))
+    last_rows = keyed.join(sent(pairs), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).withColumn("head", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")))
+    across = last_rows.join(head_rows, "head").select("doc_id", "text", "next")
     return inside.union(across)
 
 
@@ -91,16 +100,16 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     rows = with_edits(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "fp", F.col("next.fp").alias("next_fp"), edited.alias("edited"))
-    return rows.withColumn("edited_fp", fingerprint(F.col("edited")))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
+    return rows.withColumns({"fp": fingerprint(F.col("text")), "next_fp": fingerprint(F.col("next")), "edited_fp": fingerprint(F.col("edited"))})
 
 
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = edited_pairs(docs)
     return rows.select(
-        "doc_id",
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
