@@ -34,6 +34,8 @@ from .words import Hashed, roll, slices
 #: Slots of the count sketch; 24 bits of a shingle's hash.
 SLOTS = 1 << 24
 SHIFT = np.uint64(40)
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 #: Sets under a first shingle up to this number are held against each other at once.
 RUN = 64
 
@@ -58,18 +60,47 @@ def set_key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)) - (1 << 63) if len(tokens) else 0
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each of 16 to 4096 parts of the hash space, some eight a part; 255 stands for any number more."""
+    bits = min(12, max(4, len(tokens).bit_length() - 3))
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def fold(counts: np.ndarray, parts: int) -> np.ndarray:
+    counts = np.where(counts == 255, 1 << 40, counts.astype(np.int64))
+    return counts.reshape(parts, -1).sum(axis=1)
+
+
+def sketches_pass(percent: int):
+    """a, b, n, m, u, v (sizes and sketches) -> pairs whose overlap may be large enough: it is at most the sum of the lesser counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            need = -(-percent * (n + m) // (100 + percent))
+            keep = []
+            for u, v, least in zip(batch.column(4), batch.column(5), need.tolist()):
+                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint8) for z in (u, v))
+                parts = min(len(x), len(y))
+                keep.append(int(np.minimum(fold(x, parts), fold(y, parts)).sum()) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def describe(size: int):
-    """doc_id, text_hash, text -> kind 0: doc_id, text_hash, set key, set size; kind 1: slot and count of shingles."""
+    """doc_id, text_hash, text -> kind 0: doc_id, text_hash, set key, set size, sketch; kind 1: slot and count of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, slots, total = set(), np.zeros(SLOTS, dtype=np.uint32), 0
-        names = ["kind", "a", "b", "c", "d"]
+        names = ["kind", "a", "b", "c", "d", "sketch"]
         for batch in batches:
             for part in slices(batch, 2):
-                keys, sizes, new = [], [], []
+                keys, sizes, new, sketches = [], [], [], []
                 for tokens in shingle_sets(part.column(2), size):
                     keys.append(key := set_key(tokens))
                     sizes.append(len(tokens))
+                    sketches.append(sketch(tokens))
                     if key not in seen:
                         seen.add(key)
                         new.append(tokens)
@@ -77,11 +108,11 @@ def describe(size: int):
                     slot, n = np.unique(np.concatenate(new) >> SHIFT, return_counts=True)
                     slots[slot.astype(np.int64)] += n.astype(np.uint32)
                     total += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), dtype=np.int32)), part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), dtype=np.int32)), part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=names)
         mean = total / SLOTS  # what stands out from chance
         hot = np.flatnonzero(slots >= 3 + mean + 4 * mean**0.5)
         zero = np.zeros(len(hot), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(hot), pa.array(slots[hot].astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(hot), pa.array(slots[hot].astype(np.int64)), pa.array(zero), pa.array(zero), pa.nulls(len(hot), pa.binary())], names=names)
 
     return run
 
@@ -283,38 +314,56 @@ def components(links: DataFrame, tries: int = 60) -> DataFrame:
 def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """A row per row of ``docs``: doc_id, text_hash, set, n_shingles, component_id (the smallest doc_id reachable)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = staged(docs.mapInArrow(describe(size), "kind int, a long, b long, c long, d long"), "sets")
-    rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("text_hash"), F.col("c").alias("set"), F.col("d").alias("n_shingles"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = staged(docs.mapInArrow(describe(size), "kind int, a long, b long, c long, d long, sketch binary"), "sets")
+    rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("text_hash"), F.col("c").alias("set"), F.col("d").alias("n_shingles"), "sketch")
     hot = found.filter("kind = 1").groupBy("a").agg(F.sum("b").cast("int").alias("b")).select(F.col("a").cast("int").alias("a"), "b").toPandas()  # SLOTS rows at most
     levels = np.zeros(SLOTS, dtype=np.uint8)
     if len(hot):
         levels[hot["a"].to_numpy()] = np.minimum(63, 1 + np.floor(np.log2(hot["b"].to_numpy()))).astype(np.uint8)
     first = docs.mapInArrow(prefixes(size, percent, levels), "token long, set long, n int, pos int")
     both = staged(first.repartition("token").sortWithinPartitions("token").mapInArrow(candidates(percent), "kind int, a long, b long, n int, pos int"), "candidates")
-    pairs = staged(both.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    links = staged(check(docs, rows, pairs, size, percent, levels), "links")
+    nodes = rows.filter("n_shingles > 0").groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = staged(nodes.select("set", "r.*", "n", "sketch"), "nodes")
+    pairs = staged(sketched(both.filter("kind = 0").select("a", "b").distinct(), nodes, percent), "pairs")
+    # one partner for each set first: most of the others are then in its component anyway
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = staged(check(docs, nodes, one, size, percent, levels), "links")
     comps = components(links)
     comp = F.coalesce("comp", "set").alias("comp")
+    sides = [comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab"]
+    rest = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(one, ["a", "b"], "left_anti")
+    rest = staged(rest, "pairs")
+    if not rest.isEmpty():
+        links = staged(links.union(check(docs, nodes, rest, size, percent, levels)), "links")
+        comps = components(links)
     large = both.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("set"), "n", "pos")
     if not large.isEmpty():
         with_comp = staged(large.join(comps.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "pos", comp), "large")
         mixed = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
         more = with_comp.join(mixed, "token").repartition("token").sortWithinPartitions("token").mapInArrow(across(percent), "a long, b long")
-        more = staged(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = staged(sketched(more.distinct().join(pairs, ["a", "b"], "left_anti"), nodes, percent), "pairs")
         if not more.isEmpty():
-            links = links.union(check(docs, rows, more, size, percent, levels))
+            links = links.union(check(docs, nodes, more, size, percent, levels))
             comps = components(links)
-    nodes = rows.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(comps.withColumnRenamed("node", "set"), "set", "left").select("set", "doc", comp)
-    least = nodes.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = nodes.join(least, "comp").select("set", "component_id")
-    return rows.join(named, "set", "left").select("doc_id", "text_hash", "set", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = nodes.select("set", "doc_id").join(comps.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", comp)
+    least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = of.join(least, "comp").select("set", "component_id")
+    own = lambda c: F.when(c != NO_ID, c)
+    return rows.join(named, "set", "left").select(own(F.col("doc_id")).alias("doc_id"), "text_hash", "set", "n_shingles", own(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sketches don't rule out."""
+    x = nodes.select(F.col("set").alias("a"), "n", F.col("sketch").alias("u"))
+    y = nodes.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("v"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "u", "v").mapInArrow(sketches_pass(percent), "a long, b long")
 
 
-def check(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
+def check(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
     """The pairs of sets that are similar enough.  A set with very many partners is walked in several tasks."""
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    chosen = rows.join(wanted, "set").groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("set", "r.doc_id", "r.text_hash")
+    chosen = nodes.select("set", "doc_id", "text_hash").join(wanted, "set")
     texts = docs.join(chosen, ["doc_id", "text_hash"]).dropDuplicates(["set"]).select("set", "text")
     sets = staged(texts.mapInArrow(members(size, levels), "set long, tokens binary"), "tokens")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 500).alias("salts"))
