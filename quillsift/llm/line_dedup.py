@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,10 @@ SLOTS = 1 << 20
 SHIFT = np.uint64(44)
 #: Witnesses that a line sends for each first word in the first round.
 WITNESSES = 3
+#: Runs up to this length are handled all together.
+SHORT = 64
+#: Bits of a bitmap.
+BITS = 1 << 22
 #: Lines of a word's part, about.
 PART = 1 << 14
 NO_ID = -(1 << 63)
@@ -121,23 +126,19 @@ def first_words(min_words: int, percent: int, levels: np.ndarray):
     return run
 
 
-def bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-def passing(n: np.ndarray, pos: np.ndarray, s: np.ndarray, i: int, lo: int, hi: int, percent: int) -> np.ndarray:
-    """Which of the lines lo to hi pass the filters with line i."""
-    m, p = n[lo:hi], pos[lo:hi]
-    need = -(-percent * (m + n[i]) // (100 + percent))
-    most = np.minimum(p, pos[i]) + 1 + np.minimum(m - p, n[i] - pos[i]) - 1
-    return lo + np.flatnonzero((most >= need) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])) & (bits(s[lo:hi] ^ s[i]) <= m + n[i] - 2 * need))
+def passing(n: np.ndarray, pos: np.ndarray, s: np.ndarray, a, b, percent: int) -> np.ndarray:
+    """Whether the lines at places ``a`` and ``b`` (arrays, or one place) pass the filters."""
+    x, y = n[a], n[b]
+    need = -(-percent * (x + y) // (100 + percent))
+    most = np.minimum(pos[a], pos[b]) + np.minimum(x - pos[a], y - pos[b])
+    return (most >= need) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (np.bitwise_count(s[a] ^ s[b]) <= x + y - 2 * need)
 
 
 PAIRS = ", ".join(f"{c}{i} {t}" for i in (1, 2) for c, t in (("doc_id", "long"), ("h", "int"), ("line", "int"))) + ", more boolean"
 
 
 def witnesses(percent: int, most: int | None):
-    """Rows by word and salt -> (later line, earlier line, whether the later one has to ask again).
+    """Rows by key -> (later line, earlier line, whether the later one has to ask again).
 
     ``most``: earlier lines that a line sends, None for all; lines of a block that isn't the whole run
     ask again, a pair with themselves says so.  Only rows with ``asks`` set are later lines."""
@@ -146,44 +147,77 @@ def witnesses(percent: int, most: int | None):
         columns = ["key", "doc_id", "h", "line", "n", "pos", "s", "asks"]
         names, before = [x.split()[0] for x in PAIRS.split(", ")], None
         for key, doc_id, h, line, n, pos, s, asks in runs(batches, columns, None if most is None else PART):
-            n, pos, s = n.astype(np.int64), pos.astype(np.int64), s.view(np.uint64)
+            # short runs: all runs together, a distance after the other; then line by line in long runs
+            order = np.lexsort((line, h, doc_id, key))
+            key, doc_id, h, line, n, pos, s, asks = (x[order] for x in (key, doc_id, h, line, n.astype(np.int64), pos.astype(np.int64), s.view(np.uint64), asks))
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(starts, len(key)))
+            size = np.repeat(sizes, sizes)
             left, right, more = [], [], []
-            for lo, hi in zip(starts, np.append(starts[1:], len(key))):
-                if hi - lo < 2 and not (lo == 0 and key[0] == before):
-                    continue
-                order = lo + np.lexsort((line[lo:hi], h[lo:hi], doc_id[lo:hi]))
-                own = [x[order] for x in (n, pos, s)]
-                later = np.flatnonzero(asks[order])
-                for i in later[later > 0]:
-                    found = passing(*own, i, 0, i, percent)
-                    if len(found):
-                        kept = found if most is None else found[:most]
-                        left.append(np.full(len(kept), order[i]))
-                        right.append(order[kept])
-                        more.append(np.full(len(kept), len(kept) < len(found)))
-                if most is not None and (hi - lo >= PART or lo == 0 and key[0] == before):
-                    left.append(order)
-                    right.append(order)
-                    more.append(np.ones(len(order), dtype=bool))
+            sent = np.zeros(len(key), dtype=np.int64)
+            at = np.flatnonzero((size > 1) & (size <= SHORT) & asks)
+            rank = np.arange(len(key)) - np.repeat(starts, sizes)
+            for step in range(1, SHORT):
+                at = at[rank[at] >= step]
+                if not len(at):
+                    break
+                hit = at[passing(n, pos, s, at, at - step, percent)]
+                if most is not None:
+                    more.append(hit[sent[hit] >= most])
+                    hit = hit[sent[hit] < most]
+                    sent[hit] += 1
+                left.append(hit)
+                right.append(hit - step)
+            over = np.zeros(len(key), dtype=bool)
+            for x in more:
+                over[x] = True
+            for lo, m in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+                for i in lo + 1 + np.flatnonzero(asks[lo + 1 : lo + m]):
+                    found = lo + np.flatnonzero(passing(n, pos, s, slice(lo, i), i, percent))
+                    if most is not None and len(found) > most:
+                        found, over[i] = found[:most], True
+                    left.append(np.full(len(found), i))
+                    right.append(found)
+            if most is not None:
+                parted = (size >= PART) | (key == before)
+                itself = np.flatnonzero(parted)
+                left.append(itself)
+                right.append(itself)
+                over |= parted
             before = key[-1]
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in (a, b) for x in (doc_id, h, line)] + [pa.array(np.concatenate(more))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in (a, b) for x in (doc_id, h, line)] + [pa.array(over[a])], names=names)
 
     return run
 
 
-def wanted_sets(min_words: int):
-    """doc_id, h, lines, text -> doc_id, h, line, words (bytes) of the lines named."""
+def bitmap(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """A bitmap of fixed size of the rows' hashes.  Rows it lets through that aren't wanted fall out in the join after it."""
+    used = rows.select(F.pmod(F.xxhash64(*columns), F.lit(BITS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
+    out = np.zeros(BITS, dtype=bool)
+    out[used] = True
+    return np.packbits(out)
+
+
+def in_bitmap(bits: np.ndarray, columns: list):
+    def run(b: pd.Series) -> pd.Series:
+        b = b.to_numpy()
+        return pd.Series((bits[b >> 3] >> (7 - (b & 7))) & 1 == 1)
+
+    return F.pandas_udf(run, "boolean")(F.pmod(F.xxhash64(*columns), F.lit(BITS)).cast("int"))
+
+
+def all_sets(min_words: int):
+    """doc_id, h, text -> doc_id, h, line, words (five bytes a word) of every line with words enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for part in slices(batch, 3):
-                ids, h, lines = part.column(0).to_pylist(), part.column(1).to_pylist(), [set(x) for x in part.column(2).to_pylist()]
-                rows += [(ids[r], h[r], i, tokens.tobytes()) for r, i, tokens in line_sets(part.column(3), min_words) if i in lines[r]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=[*AT, "words"])
+            for part in slices(batch, 2):
+                ids, h, rows = part.column(0).to_pylist(), part.column(1).to_pylist(), []
+                for r, i, tokens in line_sets(part.column(2), min_words):
+                    rows.append((ids[r], h[r], i, np.ascontiguousarray(tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=[*AT, "words"])
 
     return run
 
@@ -195,8 +229,8 @@ def similar(percent: int):
         for batch in batches:
             keep = []
             for u, v in zip(batch.column(3), batch.column(4)):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (u, v))
-                both = len(np.intersect1d(a, b, assume_unique=True))
+                a, b = (np.frombuffer(x.as_buffer(), dtype="V5").tolist() for x in (u, v))
+                both = len(set(a).intersection(b))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=AT).filter(pa.array(keep, pa.bool_()))
 
@@ -204,14 +238,15 @@ def similar(percent: int):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """The later lines of the pairs that are similar, by their words."""
+    """The later lines of the pairs that are similar, by their words.  The lines named are picked out where the documents
+    are read, by a bitmap, so that no text is shuffled."""
     one = [pairs.select(*[F.col(f"{c}{i}").alias(c) for c in AT]) for i in (1, 2)]
-    lines = one[0].union(one[1]).groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines"))
-    texts = lines.join(docs, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "lines", "text")
-    sets = staged(texts.mapInArrow(wanted_sets(min_words), "doc_id long, h int, line int, words binary"), "words")
+    wanted = bitmap(one[0].union(one[1]), AT)
+    sets = docs.mapInArrow(all_sets(min_words), "doc_id long, h int, line int, words binary").filter(in_bitmap(wanted, AT))
+    sets = staged(sets, "words")
     u = sets.select(*[F.col(c).alias(f"{c}1") for c in AT], F.col("words").alias("u"))
     v = sets.select(*[F.col(c).alias(f"{c}2") for c in AT], F.col("words").alias("v"))
-    both = pairs.join(u, [f"{c}1" for c in AT]).join(v, [f"{c}2" for c in AT]).select(*[F.col(f"{c}1").alias(c) for c in AT], "u", "v")
+    both = pairs.join(v, [f"{c}2" for c in AT]).join(u, [f"{c}1" for c in AT]).select(*[F.col(f"{c}1").alias(c) for c in AT], "u", "v")
     return both.mapInArrow(similar(percent), "doc_id long, h int, line int").distinct()
 
 
@@ -233,7 +268,13 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
     pairs = pairs.groupBy(*later, *earlier).agg(F.max("more").alias("more"))
     pairs = staged(pairs.join(done.select(*[F.col(c).alias(f"{c}1") for c in AT]), later, "left_anti"), "pairs")
     itself = F.struct(*later) == F.struct(*earlier)
-    done = staged(done.union(verified(docs, pairs.filter(~itself), percent, min_words)).distinct(), "done")
+    # one witness of each line first
+    one = pairs.filter(~itself).groupBy(*later).agg(F.min(F.struct(*earlier)).alias("e")).select(*later, "e.*")
+    done = staged(done.union(verified(docs, staged(one, "pairs"), percent, min_words)).distinct(), "done")
+    rest = pairs.filter(~itself).join(one, [*later, *earlier], "left_anti").join(done.select(*[F.col(c).alias(f"{c}1") for c in AT]), later, "left_anti")
+    rest = staged(rest.select(*later, *earlier), "pairs")
+    if not rest.isEmpty():
+        done = staged(done.union(verified(docs, rest, percent, min_words)).distinct(), "done")
 
     # lines with more witnesses than they sent, and lines of runs that went through in blocks
     asks = pairs.filter("more").select(*[F.col(f"{c}1").alias(c) for c in AT]).distinct()
@@ -261,8 +302,17 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details:
     twice = not docs.groupBy(doc_id.alias("doc_id")).count().filter("count > 1").isEmpty()
     key = [doc_id, F.hash("text") if twice else F.lit(0)]
     gone = removed_lines(docs.select(key[0].alias("doc_id"), key[1].alias("h"), "text"), percent, min_words)
-    gone = gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
-    x, g = docs.withColumns({"__id": key[0], "__h": key[1]}).alias("x"), gone.alias("g")
+    gone = staged(gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone")), "gone")
+    keyed = docs.withColumns({"__id": key[0], "__h": key[1]})
+    if not twice:  # only documents that lose lines (and some that the bitmap lets through) meet the list of lines
+        touched = in_bitmap(bitmap(gone, ["doc_id", "h"]), ["__id", "__h"])
+        keyed = keyed.withColumn("__touched", touched)
+        whole = keyed.filter(~F.col("__touched")).drop("__id", "__h", "__touched")
+        if details:
+            n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+            whole = whole.withColumns({"n_lines": n, "n_removed": F.lit(0).cast("long")})
+        keyed = keyed.filter("__touched").drop("__touched")
+    x, g = keyed.alias("x"), gone.alias("g")
     joined = x.join(g, (F.col("x.__id") == F.col("g.doc_id")) & (F.col("x.__h") == F.col("g.h")), "left")
     nth = F.row_number().over(Window.partitionBy("x.__id", "x.__h").orderBy("x.__h"))
     lines = F.split(F.col("x.text"), "\n")
@@ -277,7 +327,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details:
     if drop_emptied:
         lost = F.col("x.text").isNotNull() & (F.size("__kept") < F.size(lines))
         out = out.filter(~lost | F.array_join("__kept", "").rlike("[^ \\x09-\\x0D]"))
-    return out.select(*columns)
+    out = out.select(*columns)
+    return out if twice else out.union(whole)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
