@@ -14,3 +14,6 @@ def register(name: str, oracle: str | None = None):
         return fn
 
     return wrap
+
+
+from . import messages, events  # noqa: E402, F401  the queries register themselves

@@ -1 +1 @@
-
+"""Streams of messages and events."""
