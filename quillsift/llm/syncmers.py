@@ -71,11 +71,15 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     Rows are dealt out by stretches of doc_ids and looked up there; the last row of each stretch gets
     the first of the next stretch by a join.  Only the stretches, a row each, are put in one order."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    lo, hi = lo or 0, hi or 0
     stretches = max(1, (n or 0) // STRETCH)
-    width = max(1, (hi // stretches - lo // stretches) + 1) if n else 1
-    keyed = docs.withColumn("s", F.expr(f"doc_id DIV {width}L")).withColumn("h", F.xxhash64("text"))
+    width = min((1 << 63) - 1, max(1, hi // stretches - lo // stretches + 1))
+    # rows without an id come last, in a stretch of their own
+    last = F.expr(f"CAST({lo} AS BIGINT) DIV {width}L") - 1
+    keyed = docs.withColumn("s", F.coalesce(F.expr(f"doc_id DIV {width}L"), last)).withColumn("h", F.xxhash64("text"))
+    keyed = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     order = Window.partitionBy("s").orderBy(F.desc("doc_id"), "h")
     # the texts alone are shuffled: a fingerprint is quicker made again than moved
     inside = keyed.withColumn("next", F.lead("text").over(order)).filter(F.col("next").isNotNull()).select("doc_id", "text", "next")

@@ -1,0 +1,494 @@
+"""The training-data operators against brute force on small tables, and their edge cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillsift.llm import html_text, line_dedup, media, mixing, ngram_join, packing, quality, substring_dedup, suffix_tree, syncmers, words
+from quillsift.llm.common import staged
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string"
+
+
+def long_text(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Nulls, empty and very long texts, copies, near copies, repeated rows, clashing extra column names."""
+    base = long_text(1, 120)
+    near = base.replace(" w", " W", 3) + " tail"
+    texts = {
+        1: base, 2: None, 3: "", 4: "   \n\t ", 5: base, 6: near, 7: "one", 8: "two words", 9: "ÉTÉ été Straße 😀 x", 10: long_text(2, 30_000), 11: long_text(3, 60) + "\n" + base, 12: "a\nb\n" + long_text(4, 40) + "\n" + long_text(4, 40),
+        13: "the cat sat on the mat today\nThe cat sat on the mat today", 14: "x " * 200, 15: long_text(5, 25),
+    }
+    out = [(i, t, "en", None if i == 8 else f"s{i % 3}", len(t or ""), "extra") for i, t in texts.items()]
+    return [*out, out[0], out[6], (None, long_text(6, 50), None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return staged(spark.createDataFrame(rows, SCHEMA).repartition(3))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bag(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+# ---------------------------------------------------------------- words
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbé \n\t\x00", max_size=20)), max_size=6))
+def test_hashed_words(texts):
+    h = words.Hashed(pa.array(texts, pa.string()), with_lines=True)
+    seen = {}
+    for i, t in enumerate(texts):
+        own = WORD.findall((t or "").translate(LOWER))
+        assert h.starts[i + 1] - h.starts[i] == len(own)
+        for w, x in zip(own, h.hashes[h.starts[i] :]):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+# ---------------------------------------------------------------- 1: suffix tree
+
+
+def test_suffix_tree(spark, docs, none, rows):
+    learn = docs.withColumn("learn", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 1, F.lit(False)))
+    got = suffix_tree.score_texts(learn).collect()
+    tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), " "]
+    own = [(r[0], tokens(r[1])) for r in rows]
+    counts = Counter(w for i, ts in own if i is not None and zlib.crc32(str(i).encode()) % 5 != 1 for w in ts)
+    n, v = sum(counts.values()), len(counts)
+    expect = Counter((i, len(ts), sum(w in counts for w in ts), round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), 6)) for i, ts in own)
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == expect
+    assert {r.train_tokens for r in got} == {n}
+    assert suffix_tree.score_texts(none.withColumn("learn", F.lit(True))).count() == 0
+
+
+def test_suffix_tree_predicts(spark, real):
+    got = suffix_tree.score_texts(real.withColumn("learn", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)).filter("held_out").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_distributions_sum_to_one():
+    rng = np.random.default_rng(0)
+    seq = rng.choice(5, 4000, p=[0.4, 0.3, 0.2, 0.05, 0.05]) + 1
+    seq[1::2] = (seq[::2] % 5) + 1  # every second symbol follows from the first
+    unigram = np.bincount(seq, minlength=6)
+    found = Counter()
+    for d in range(1, suffix_tree.DEPTH + 1):
+        for i in range(d, len(seq)):
+            key = sum(int(seq[i - 1 - j]) << (16 * j) for j in range(d))
+            found[d, key, int(seq[i])] += 1
+    table = np.array([(*k, n) for k, n in found.items()], dtype=[("depth", "i4"), ("context", "i8"), ("symbol", "i4"), ("n", "i8")])
+    base = lambda c: (c + 0.5) / (len(seq) + 0.5 * 6)
+    tree = suffix_tree.Tree(table, unigram, len(seq), base)
+    assert len(tree.levels[0][0])
+    for context in (1, 3 | 2 << 16, 1 | 2 << 16 | 4 << 32):
+        every = np.append(np.arange(1, 6), 0)  # the unknown symbol too
+        p = tree.probability(suffix_tree.DEPTH, np.full(6, context, dtype=np.uint64), every, base(np.append(unigram[1:], 0)))
+        assert p.sum() == pytest.approx(1.0) and (p > 0).all()
+
+
+# ---------------------------------------------------------------- 2: packing
+
+
+def check_packed(rows, capacity):
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins)
+
+
+def test_packing(docs, none, rows):
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizer("word_bpe_49k.json")
+    got = packing.pack(docs, path, 64).collect()
+    check_packed(got, 64)
+    tool, expect = Tokenizer.from_file(path), Counter()
+    for r in rows:
+        ids = [*tool.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        for n, start in enumerate(range(0, len(ids), 64)):
+            piece = np.array(ids[start : start + 64], dtype="<u4").tobytes()
+            expect[r[0], n, start, len(piece) // 4, zlib.crc32(piece)] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == expect
+    assert packing.pack(none, path).count() == 0
+
+
+def test_packing_keeps_ids(docs):
+    r = packing.pack(docs.filter("doc_id = 8"), packing.public_tokenizer("word_bpe_49k.json"), with_ids=True).first()
+    assert np.frombuffer(bytes(r.ids), dtype="<u4")[-1] == 0 and len(r.ids) == 4 * r.length
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 12), max_size=12))
+def test_histogram_packing(left):
+    bins = packing.pack_histogram(left, 40)
+    held = Counter()
+    for times, filling in bins:
+        assert sum(filling) <= 40
+        for s in filling:
+            held[s] += times
+    assert held == Counter({s: n for s, n in left.items()})
+    assert sum(t for t, _ in bins) >= packing.lower_bound(left, 40)
+
+
+def test_branch_and_bound_beats_best_fit():
+    assert len(packing.branch([6, 5, 5, 4, 4, 4, 2], 10, 3, 20_000)) == 3
+    assert packing.branch([6, 6, 6], 10, 2, 20_000) is None
+
+
+def test_tokens_are_the_tokenizers():
+    tool = packing.Tokens(packing.public_tokenizer("word_bpe_49k.json"))
+    texts = ["it's we're İstanbul ΣΑΣ naïve é x\u0085z <|endoftext|>a 12²½ × ª ", "", "\n", "A" * 3000, "!?!...hello-World_1", "don­t"]
+    for t, ids in zip(texts, tool.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tool.tool.encode(t, add_special_tokens=False).ids
+
+
+# ---------------------------------------------------------------- 3: pages
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (None, ""), ("", ""), ("<nav>menu</nav>", ""), ("plain words", "plain words"),
+        ("<html><body><nav><ul><li>Home</ul></nav><article><h1>Head</h1><p>One &amp;\n two<br>three<p>Next</article><footer>&copy; x</footer>", "Head\nOne & two three\nNext"),
+        ("<body><div class='cookie-notice'>We use cookies on this site and much more of that</div><main><p>The text itself is here.</p><aside>side</aside><form>f</form><section class='comments'><p>reader says something long</p></section></main>", "The text itself is here."),
+        ("<article><header><h1>Kept</h1></header><p>Body</p><script>var t = '</p>';</script></article>", "Kept\nBody"),
+        ("<div id=header>top of the page</div><div><p>" + "long text " * 30 + "</p><p>short</p><p>" + "more text " * 30 + "</p></div><div class=sidebar>links links</div>", ("long text " * 30).strip() + "\nshort\n" + ("more text " * 30).strip()),
+    ],
+)
+def test_main_text(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_pages(spark, sf_dir):
+    import html
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    for r in pages.collect():
+        blocks = re.split(r"</?(?:p|h1)>", r.html[r.html.index("<article>") + 9 :].split("</article>")[0])
+        clean = (" ".join(html.unescape(b.replace("<br>", " ").replace("<b>", "").replace("</b>", "")).split()) for b in blocks)
+        assert got[r.page_id] == "\n".join(b for b in clean if b)
+    assert html_text.main_texts(pages.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 4: n-gram join
+
+
+def brute_groups(pairs, size, percent):
+    sets = []
+    for i, t in pairs:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append((i, frozenset(tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))) if w else frozenset()))
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a][1] & sets[b][1])
+            if both and 100 * both >= percent * (len(sets[a][1]) + len(sets[b][1]) - both):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, s) in enumerate(sets):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return Counter((i, len(s), least.get(find(k))) for k, (i, s) in enumerate(sets))
+
+
+def test_ngram_join(docs, none, rows):
+    for size, percent in ((4, 85), (5, 80)):
+        got = bag(ngram_join.jaccard_groups(docs, size, percent), "doc_id", "n_shingles", "component_id")
+        assert got == brute_groups([(r[0], r[1]) for r in rows], size, percent)
+    assert ngram_join.jaccard_groups(none).count() == 0
+
+
+def test_ngram_join_large_group(spark, monkeypatch):
+    """More near copies under a first shingle than are held against each other at once."""
+    monkeypatch.setattr(ngram_join, "RUN", 4)
+    base = long_text(9, 60).split()
+    texts = []
+    for i in range(40):
+        w = list(base)
+        w[(7 * i) % 55] = f"changed{i}"
+        texts.append((i, " ".join(w)))
+    d = spark.createDataFrame([*texts, (99, long_text(10, 60))], "doc_id long, text string")
+    got = bag(ngram_join.jaccard_groups(d, 4, 85), "doc_id", "n_shingles", "component_id")
+    assert got == brute_groups([*texts, (99, long_text(10, 60))], 4, 85)
+
+
+def test_one_of_each(docs, rows):
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids[1] == 1 and ids[7] == 1 and not ids[5] and not ids[6] and ids[2] == ids[3] == ids[4] == 1 and ids[10] == 1
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=1, max_size=8), st.sets(st.integers(0, 30), min_size=1))
+def test_trie_walk(sets, root):
+    walk = ngram_join.Walk(np.array(sorted(root), dtype=np.uint64), 60)
+    for s in sorted(sorted(x) for x in sets):
+        both = len(root & set(s))
+        assert walk.similar(np.array(s, dtype=np.uint64)) == (100 * both >= 60 * (len(root) + len(s) - both))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
+def test_sketch_is_a_bound(a, b):
+    x, y = (np.frombuffer(ngram_join.sketch(np.array(sorted(s), dtype=np.uint64)), dtype=np.uint8) for s in (a, b))
+    parts = min(len(x), len(y))
+    assert np.minimum(ngram_join.fold(x, parts), ngram_join.fold(y, parts)).sum() >= len(a & b)
+
+
+# ---------------------------------------------------------------- 5: substrings
+
+
+def brute_repeats(pairs):
+    seen, out = set(), []
+    for i, t in pairs:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for j in range(len(w) - 19):
+            k = tuple(w[j : j + 20])
+            if k in seen:
+                gone[j : j + 20] = [True] * 20
+            seen.add(k)
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_substrings(docs, none, rows, batches):
+    order = sorted({(r[0] if r[0] is not None else -1, r[1]) for r in rows}, key=lambda x: x[0])
+    expect = {(None if i == -1 else i): x for (i, _), x in zip(order, brute_repeats(order))}
+    got = substring_dedup.remove_repeats(docs, batches).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_words, r.n_removed, r.kept_sha256) == expect[r.doc_id][1:]
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_index_compacts(spark, real, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 2)
+    expect = {x[0]: x[1:] for x in brute_repeats(sorted((r.doc_id, r.text) for r in real.collect()))}
+    got = substring_dedup.remove_repeats(real, 5, with_text=True).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == expect
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
+
+
+# ---------------------------------------------------------------- 6: fingerprints
+
+
+def test_syncmers(spark, docs, none, rows):
+    got = syncmers.edited_pairs(docs).collect()
+    order = sorted(((r[0] if r[0] is not None else syncmers.NO_ID, r[1] or "") for r in rows), key=lambda r: -r[0])
+    expect = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        expect[i, len(t), t[: len(t) - half] + nxt[:half]] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited) for r in got) == expect
+    by_text = {}
+    for r in got:
+        assert by_text.setdefault(r.text, r.fp) == r.fp and len(r.fp) <= syncmers.WIDTH
+    assert syncmers.edited_pairs(none).count() == 0
+
+
+def test_likeness(spark, real):
+    rows = syncmers.op6_syncmers(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.near_edited > r.near_next for r in rows) > 0.95 * len(rows)
+    assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next))
+    same = real.limit(3).withColumn("fp", syncmers.fingerprint(F.col("text"))).select(syncmers.likeness(F.col("fp"), F.col("fp")).alias("x"))
+    assert {r.x for r in same.collect()} == {1.0}
+
+
+def test_anchors_are_context_free(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h"), (2, "z z z a b c d e f g h y")], "doc_id long, text string")
+    found = {i: {r.anchor: r.position for r in syncmers.anchors(d).filter(f"doc_id = {i}").collect()} for i in (1, 2)}
+    shared = set(found[1]) & set(found[2])
+    assert shared and {found[2][a] - found[1][a] for a in shared} == {3}
+
+
+# ---------------------------------------------------------------- 7: lines
+
+
+def brute_lines(pairs, percent=80, least=5):
+    seen, out = [], []
+    for i, t in pairs:
+        lines, gone = (t or "").split("\n"), set()
+        for k, line in enumerate(lines):
+            w = set(WORD.findall(line.translate(LOWER)))
+            if len(w) >= least:
+                if any(100 * len(w & s) >= percent * len(w | s) for s in seen):
+                    gone.add(k)
+                seen.append(w)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone) if t is not None else None, 0 if t is None else len(lines), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("most", [3, 1])
+def test_lines(docs, none, rows, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "WITNESSES", most)
+    if most == 1:
+        monkeypatch.setattr(line_dedup, "PART", 4)
+        monkeypatch.setattr(line_dedup, "SHORT", 2)
+    order = sorted(((r[0] if r[0] is not None else -1, r[1]) for r in rows), key=lambda r: r[0])
+    expect = Counter((None if i == -1 else i, *x) for i, *x in brute_lines(order))
+    got = line_dedup.dedup_lines(docs, details=True)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert bag(got, "doc_id", "text", "n_lines", "n_removed") == expect
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 1])
+def test_lines_of_documents(spark, real, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "WITNESSES", most)
+    if most == 1:
+        monkeypatch.setattr(line_dedup, "PART", 8)
+    expect = Counter((i, t) for i, t, *_ in brute_lines(sorted((r.doc_id, r.text) for r in real.collect())))
+    assert bag(line_dedup.dedup_lines(real), "doc_id", "text") == expect
+
+
+# ---------------------------------------------------------------- 8: media
+
+
+def test_media(spark, docs, none, rows):
+    index, folder = media.write_shards(docs)
+    found = {r.digest: r for r in media.payloads(index, folder).collect()}
+    heads = {r.digest: (r.width, r.height, r.bits) for r in media.headers(index, folder).collect()}
+    got = Counter()
+    for r in index.collect():
+        m = found[r.digest]
+        assert heads[r.digest] == (64, m.payload_bytes // 64, 8)
+        got[r.doc_id, r.n_bytes, m.payload_bytes, m.payload_sha256, m.tail_crc32] += 1
+    expect = Counter()
+    for r in rows:
+        data = (r[1] or "").encode()
+        p = data + bytes(-len(data) % 64 or (0 if data else 64))
+        expect[r[0], len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
+    assert got == expect
+    assert media.write_shards(none)[0].count() == 0
+
+
+def test_shards_are_tar_files(spark, docs, tmp_path):
+    import tarfile
+
+    index, folder = media.write_shards(docs)
+    for r in index.select("digest", "shard", "offset", "length").distinct().collect():
+        with tarfile.open(f"{folder.removeprefix('file://')}/{r.shard}") as tar:
+            member = tar.getmember(f"{r.digest}.png")
+            assert (member.offset_data, member.size) == (r.offset, r.length)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.binary(max_size=500))
+def test_png_round_trip(data):
+    assert media.from_png(media.to_png(media.padded(data))) == media.padded(data)
+
+
+# ---------------------------------------------------------------- 9: quality
+
+
+def test_quality(spark, real, docs, none, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(real, labels)
+    got = real.join(labels, "doc_id").select("quality", quality.scorer(model)(F.col("text")).alias("score")).collect()
+    good, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.9 and (not bad or sum(bad) / len(bad) < 0.5)
+    edge = {r.doc_id: r.s for r in docs.select("doc_id", quality.scorer(model)(F.col("text")).alias("s")).collect()}
+    assert all(0 <= s <= 1 for s in edge.values()) and edge[2] == edge[3]
+    assert none.select(quality.scorer(model)(F.col("text"))).count() == 0
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_quality_without_labels(spark, docs):
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.fit(docs, empty)
+    assert model.score("anything") == 0.5
+    one = spark.createDataFrame([(1, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    assert quality.fit(docs, one).score("anything") == pytest.approx(2 / 3)
+
+
+def test_quality_held_out(spark):
+    got = quality.op9_quality(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = got.filter("held_out").join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.quality for r in held) / len(held) > 0.9
+
+
+# ---------------------------------------------------------------- 10: mixing
+
+
+def test_mixing(spark, docs, none, rows):
+    got = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
+    assert all(0 <= r.taken <= 2 * r["size"] and r.taken in (0, r["size"], 2 * r["size"]) for r in got)
+    again = mixing.mix(docs.repartition(2)).collect()
+    assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
+    assert mixing.mix(none).count() == 0
+    mixed = mixing.sample_mixture(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(WORD.findall(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
+
+
+def test_mixture_meets_targets(spark):
+    got = mixing.op10_mixing(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id")
+    for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target")).collect():
+        assert abs(r.t - r.target) < 0.005 * r.target
+
+
+def test_target_shares():
+    assert mixing.target_shares([10, 10, 10], [5, 2, 1], 1.5, 2) == pytest.approx([20, 16.6666667, 8.3333333])
+    assert mixing.target_shares([0, 0], [5, 2], 1.5, 2) == [0, 0]
+
+
+def test_flow_with_overlapping_sources():
+    """Single copies are used up before any is repeated."""
+    patterns = [(frozenset("a"), 10.0), (frozenset("ab"), 10.0), (frozenset("b"), 10.0)]
+    assert mixing.route(patterns, {"a": 15.0, "b": 15.0}, 2) == pytest.approx([10, 10, 10])
+    assert sum(mixing.route(patterns, {"a": 30.0, "b": 5.0}, 2)) == pytest.approx(35)
+
+
+def test_overlapping_members(spark):
+    d = spark.createDataFrame([(i, "w " * 10, "x", ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b"]) for i in range(30)], "doc_id long, text string, source string, m array<string>")
+    got = mixing.mix(d, weights=(1, 1), share=1.0, members=F.col("m")).collect()
+    assert sum(r.taken for r in got) == 300 + 100  # the shared documents count for both sources
