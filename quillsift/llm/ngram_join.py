@@ -210,13 +210,37 @@ def candidates(percent: int):
     return run
 
 
+class Sketches:
+    """Sketches of sets in order of size, to bound the overlap of one with many."""
+
+    def __init__(self, sketches):
+        counts = [np.frombuffer(x, dtype=np.uint8) for x in sketches]
+        self.parts = np.array([len(x) for x in counts])
+        self.own, self.half, self.at = {}, {}, np.zeros(len(counts), dtype=np.int64)
+        for parts in np.unique(self.parts).tolist():
+            i = np.flatnonzero(self.parts == parts)
+            self.at[i] = np.arange(len(i))
+            x = np.stack([counts[j] for j in i]).astype(np.int32)
+            x[x == 255] = 1 << 20
+            self.own[parts], self.half[parts // 2] = x, x.reshape(len(i), -1, 2).sum(axis=2)
+
+    def bound(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The most that set i can share with others, which have as many parts or twice as many."""
+        parts = int(self.parts[i])
+        x, out = self.own[parts][self.at[i]], np.full(len(others), 1 << 40)
+        for table, same in ((self.own, self.parts[others] == parts), (self.half, self.parts[others] == 2 * parts)):
+            if same.any():
+                out[same] = np.minimum(table[parts][self.at[others[same]]], x).sum(axis=1)
+        return out
+
+
 def across(percent: int):
-    """Rows by token, component, n with the component of each set -> pairs across components.
+    """Rows by token, with the component and the sketch of each set -> pairs across components that nothing rules out.
 
-    ``rows`` of a token come together; a token whose sets are one component has nothing to add."""
+    A token whose sets are one component has nothing to add."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, key, n, pos, comp in runs(batches, ["token", "set", "n", "pos", "comp"]):
+        for token, key, n, pos, comp, drawn in runs(batches, ["token", "set", "n", "pos", "comp", "sketch"]):
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             ends = np.append(starts[1:], len(token))
             for s, e in zip(starts, ends):
@@ -225,14 +249,14 @@ def across(percent: int):
                 order = s + np.lexsort((key[s:e], n[s:e]))
                 order = order[np.append(True, key[order][1:] != key[order][:-1])]
                 k, m, p, c = key[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
+                sketches = Sketches(drawn[order])
                 for i in range(len(k) - 1):
                     end = int(np.searchsorted(m, m[i] * 100 // percent, side="right"))  # length filter
-                    if end <= i + 1:
-                        continue
-                    hit = (c[i + 1 : end] != c[i]) & possible(m[i], p[i], m[i + 1 : end], p[i + 1 : end], percent)
-                    if hit.any():
-                        other = k[i + 1 : end][hit]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, k[i])), pa.array(np.maximum(other, k[i]))], names=["a", "b"])
+                    js = i + 1 + np.flatnonzero((c[i + 1 : end] != c[i]) & possible(m[i], p[i], m[i + 1 : end], p[i + 1 : end], percent))
+                    if len(js):
+                        js = js[(100 + percent) * sketches.bound(i, js) >= percent * (m[i] + m[js])]
+                    if len(js):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[js], k[i])), pa.array(np.maximum(k[js], k[i]))], names=["a", "b"])
 
     return run
 
@@ -341,8 +365,9 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     if not large.isEmpty():
         with_comp = staged(large.join(comps.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "pos", comp), "large")
         mixed = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-        more = with_comp.join(mixed, "token").repartition("token").sortWithinPartitions("token").mapInArrow(across(percent), "a long, b long")
-        more = staged(sketched(more.distinct().join(pairs, ["a", "b"], "left_anti"), nodes, percent), "pairs")
+        drawn = nodes.select("set", "sketch")
+        more = with_comp.join(mixed, "token").join(drawn, "set").select("token", "set", "n", "pos", "comp", "sketch").repartition("token").sortWithinPartitions("token").mapInArrow(across(percent), "a long, b long")
+        more = staged(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links = links.union(check(docs, nodes, more, size, percent, levels))
             comps = components(links)
