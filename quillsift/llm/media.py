@@ -53,7 +53,7 @@ def to_png(payload: bytes) -> bytes:
     rows = len(payload) // ROW
     samples = np.zeros((rows, ROW + 1), dtype=np.uint8)
     samples[:, 1:] = np.frombuffer(payload, dtype=np.uint8).reshape(rows, ROW)
-    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", ROW, rows, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(samples.tobytes(), 6)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", ROW, rows, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(samples.tobytes(), 9)) + chunk(b"IEND", b"")
 
 
 def read_header(data: bytes) -> tuple[int, int, int]:
@@ -158,7 +158,9 @@ def write_shards(docs: DataFrame) -> tuple[DataFrame, str]:
     docs.mapInArrow(writer(f"{root}/shards"), INDEX).write.parquet(f"{root}/index")
     index = spark.read.parquet(f"{root}/index")
     one = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
-    return index.select("doc_id", "n_bytes", "digest").join(one, "digest"), f"{root}/shards"
+    # the digest's places are read several times: written once, the joins go over narrow rows
+    index.select("doc_id", "n_bytes", "digest").join(one, "digest").write.parquet(f"{root}/places")
+    return spark.read.parquet(f"{root}/places"), f"{root}/shards"
 
 
 def places(index: DataFrame) -> DataFrame:
@@ -208,5 +210,5 @@ def payloads(index: DataFrame, folder: str) -> DataFrame:
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     index, folder = write_shards(docs)
-    out = index.join(payloads(index, folder), "digest")
+    out = index.select("doc_id", "n_bytes", "digest", "shard", "offset", "length").join(payloads(index, folder), "digest")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "shard", "offset", "length")
