@@ -5,8 +5,9 @@ historical windows' hashes: of each window of 20 words the anchor, the smallest
 so neighbouring windows share theirs and a run has a seventh of the rows that all windows would be.  Equal
 windows have equal anchors.  A batch's anchors are merge-joined with the runs; where an anchor has been
 met before, or twice in the batch, the windows around it are verified: full hashes of the 20 words, on both
-sides, and the first of equal windows by doc_id and start stays.  Then the batch becomes a run of its own,
-and runs are compacted into one when there are more than ``MAX_RUNS``.
+sides, and the first of equal windows by doc_id and start stays.  What was verified is kept, so no document's
+windows are hashed again for an anchor.  The batch is a run of its own, and runs are compacted into one when
+there are more than ``MAX_RUNS``.
 
 Edge cases: null and empty texts have no words; rows with a null doc_id are one document, before all others;
 rows that repeat a doc_id are ordered by a hash of their text, and rows equal in both are one document reported
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_root, staged
+from .line_dedup import bitmap, in_bitmap
 from .words import Hashed, slices
 
 WINDOW = 20
@@ -85,58 +87,68 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Sorted runs of anchors with the documents that have them."""
+    """Sorted runs of anchors with the documents that have them, bucketed alike, so that runs are joined without a shuffle.
+
+    ``hot``: anchors that were met again, whose windows have all been verified; ``known``: these windows."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.runs = spark, shared_root(spark), []
+        self.spark, self.root, self.runs, self.hot, self.known = spark, shared_root(spark), [], [], []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def add(self, rows: DataFrame) -> None:
-        """A new run of (anchor, doc_id, h); never changed once written."""
+    def write(self, rows: DataFrame) -> DataFrame:
+        """A run of (anchor, doc_id, h, n); never changed once written."""
         name = f"run_{uuid.uuid4().hex[:16]}"
-        rows = rows.select("anchor", "doc_id", "h").repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
+        rows = rows.select("anchor", "doc_id", "h", "n").repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
         rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.root}/{name}").saveAsTable(name)
-        self.runs.append(self.spark.table(name))
+        return self.spark.table(name)
+
+    def add(self, run: DataFrame) -> None:
+        self.runs.append(run)
         if len(self.runs) > MAX_RUNS:
-            self.compact()
+            self.runs = [self.write(union(self.runs))]
 
-    def compact(self) -> None:
-        runs, self.runs = self.runs, []
-        merged = runs[0]
-        for run in runs[1:]:
-            merged = merged.union(run)
-        self.add(merged)
+    def meet(self, own: DataFrame) -> DataFrame | None:
+        """(anchor, doc_id, h) of the history that the batch's anchors meet for the first time."""
+        if not self.runs:
+            return None
+        found = union([run.join(own.select("anchor"), "anchor", "left_semi").select("anchor", "doc_id", "h") for run in self.runs])
+        return found.join(union(self.hot), "anchor", "left_anti") if self.hot else found
 
-    def meet(self, rows: DataFrame) -> DataFrame | None:
-        """(anchor, doc_id, h) of the history whose anchors are among ``rows``."""
-        asked = rows.select("anchor").distinct()
-        found = [run.join(asked, "anchor", "left_semi") for run in self.runs]
-        out = found[0] if found else None
-        for x in found[1:]:
-            out = out.union(x)
-        return out
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.union(x)
+    return out
 
 
 def repeated_windows(docs: DataFrame, index: FingerprintIndex, batch: DataFrame, where) -> DataFrame:
     """doc_id, h, start of the batch's windows that start earlier too; the batch is in the index afterwards.
 
     ``docs``: all documents so far (doc_id, h, text); ``where``: Column true for the batch's rows."""
-    own = staged(batch.mapInArrow(anchors, "anchor long, doc_id long, h int, n int"), "anchors")
+    own = index.write(batch.mapInArrow(anchors, "anchor long, doc_id long, h int, n int"))
     past = index.meet(own)
     twice = own.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     if past is not None:
         past = staged(past, "past")
-        twice = twice.union(past.select("anchor")).distinct()
-    met = own.join(twice, "anchor").select("anchor", "doc_id", "h")
-    if past is not None:
-        met = met.union(past)
-    met = met.groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("met"))
-    around = met.join(docs, ["doc_id", "h"]).select("doc_id", "h", "met", "text")
+        twice = twice.union(past.select("anchor"))
+        if index.hot:
+            twice = twice.union(union(index.hot))
+    twice = staged(own.join(twice.distinct(), "anchor", "left_semi").select("anchor", "doc_id", "h"), "met")
+    met = twice if past is None else twice.union(past)
+    met = staged(met.groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("met")), "met")
+    # documents that have none of these anchors stay where they are read
+    some = docs.filter(in_bitmap(bitmap(met, ["doc_id", "h"]), ["doc_id", "h"]))
+    around = met.join(some, ["doc_id", "h"]).select("doc_id", "h", "met", "text")
     found = staged(around.mapInArrow(windows, "window long, doc_id long, h int, start int"), "windows")
     first = found.groupBy("window").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first")
     later = found.join(first, "window").filter(where & (F.struct("doc_id", "h", "start") != F.col("first"))).select("doc_id", "h", "start")
-    out = staged(later, "later")
+    if index.known:
+        later = later.union(found.filter(where).join(union(index.known), "window", "left_semi").select("doc_id", "h", "start"))
+    out = staged(later.groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts")), "later")
     index.add(own)
+    index.hot.append(staged(twice.select("anchor").distinct(), "hot"))
+    index.known.append(staged(found.select("window").distinct(), "known"))
     return out
 
 
@@ -154,10 +166,7 @@ def repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         if i < len(cuts):
             where, so_far = where & (doc_id <= cuts[i]), doc_id <= cuts[i]
         found.append(repeated_windows(docs.filter(so_far), index, docs.filter(where), where))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts"))
+    return union(found)
 
 
 def strip(with_text: bool):
@@ -192,7 +201,10 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
     twice = not docs.groupBy(doc_id).count().filter("count > 1").isEmpty()
     keyed = docs.select(doc_id, (F.hash("text") if twice else F.lit(0)).alias("h"), "text")
     found = repeats(keyed, batches)
-    rows = keyed.join(found, ["doc_id", "h"], "left").select("doc_id", "starts", "text")
+    found = staged(found, "starts")
+    some = in_bitmap(bitmap(found, ["doc_id", "h"]), ["doc_id", "h"])
+    rows = keyed.filter(some).join(found, ["doc_id", "h"], "left").select("doc_id", "starts", "text")
+    rows = rows.union(keyed.filter(~some).select("doc_id", F.lit(None).cast("array<int>").alias("starts"), "text"))
     out = rows.mapInArrow(strip(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
