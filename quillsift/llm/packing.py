@@ -205,7 +205,7 @@ class Tokens:
     a part's last token is the only one that ends in </w>.  Other words go to the tokenizer as they are.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -241,7 +241,7 @@ class Tokens:
             self.cache.clear()
         if len(self.parts) > self.LIMIT:
             self.parts.clear()
-        plain = {w: self.split(w.lower()) for w in words if self.plain(w)}
+        plain = {w: (w.lower(),) if w.isascii() and w.isalpha() else self.split(w.lower()) for w in words if self.plain(w)}
         other = [w for w in words if w not in plain]
         self.cache.update(zip(other, self.each(other)))
         self.learn_parts(list({p for ps in plain.values() for p in ps}.difference(self.parts)))
@@ -250,11 +250,11 @@ class Tokens:
             self.cache[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.words(t) for t in texts]
-        if new := {w for ws in words for w in ws}.difference(self.cache):
-            if len(self.cache) > self.LIMIT:
-                new = {w for ws in words for w in ws}
-            self.learn(new)
+        # str.split also splits at four control characters that the vocabulary's pattern takes as signs
+        words = [self.words(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        every = set().union(*words)
+        if new := every.difference(self.cache):
+            self.learn(every if len(self.cache) > self.LIMIT else new)
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
