@@ -46,6 +46,8 @@ BITS = 1 << 22
 #: Lines of a word's part, about.
 PART = 1 << 14
 NO_ID = -(1 << 63)
+#: Later than any document.
+AFTER = (1 << 63, 0)
 AT = ["doc_id", "h", "line"]
 ROW = [*AT, "n", "pos", "s"]
 
@@ -94,19 +96,22 @@ ROWS = "word int, doc_id long, h int, line int, n int, pos int, s long"
 
 
 def first_words(min_words: int, percent: int, levels: np.ndarray):
-    """doc_id, h, text -> a row for each first word of each line, sets that the task has met left out."""
+    """doc_id, h, text -> a row for each first word of each line.  Left out are lines whose set the task has met in an
+    earlier line, so that the first line of a set sends its rows whatever the order and the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, names = set(), [x.split()[0] for x in ROWS.split(", ")]
+        seen, names = {}, [x.split()[0] for x in ROWS.split(", ")]
         for batch in batches:
             for part in slices(batch, 2):
                 firsts, lines = [], []
                 ids, h = part.column(0).to_pylist(), part.column(1).to_pylist()
+                documents = list(zip(ids, h))
                 for row, line, tokens in line_sets(part.column(2), min_words):
                     key, n = set_key(tokens), len(tokens)
-                    if key in seen:
+                    # lines of a document come in order, so its place alone says which line is earlier
+                    if documents[row] >= seen.get(key, AFTER):
                         continue
-                    seen.add(key)
+                    seen[key] = documents[row]
                     level = levels[(tokens >> SHIFT).astype(np.int64)]
                     ordered = np.sort((level.astype(np.uint64) << np.uint64(57)) | (tokens & np.uint64((1 << 57) - 1)))
                     first = ordered[: n - (percent * n + 99) // 100 + 1]

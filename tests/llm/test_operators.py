@@ -388,6 +388,19 @@ def test_lines_of_documents(spark, real, monkeypatch, most):
     assert bag(line_dedup.dedup_lines(real), "doc_id", "text") == expect
 
 
+def test_lines_in_any_order(spark):
+    """One task reads the later copies first."""
+    words = long_text(7, 30).split()
+    x, y = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(100, x), (50, y), (5, x + "\n" + long_text(8, 12)), (3, long_text(9, 20)), (None, long_text(9, 20) + " tail")]
+    rng = np.random.default_rng(10)
+    rows += [(i, "\n".join(" ".join(f"v{w}" for w in rng.choice(9, rng.integers(5, 9), replace=False)) for _ in range(3))) for i in range(1000, 900, -1)]
+    order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
+    expect = Counter((i, t) for i, t, *_ in brute_lines(order))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert bag(got, "doc_id", "text") == expect
+
+
 # ---------------------------------------------------------------- 8: media
 
 
