@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line resembles are taken out; documents left without any text go."""
-    out = dedup_lines(docs, drop_emptied=True)
+    out = dedup_lines(docs, min_words=1, drop_emptied=True)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

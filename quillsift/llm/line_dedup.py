@@ -3,7 +3,7 @@
 A line is the set of its words (runs of anything but ASCII white space, A-Z lower-cased).  It is removed if an earlier
 line, by doc_id and place, has a Jaccard similarity of 0.8 or more with it; what counts is the input, so
 a line that is removed itself still removes later ones.  Lines of fewer than ``min_words`` distinct words
-stay and remove nothing.
+stay and remove nothing; the query and the pipeline take 1, so that only blank lines do.
 
 Words are ordered by rarity (a count sketch of 2**20 slots over all lines, ties by hash), and two similar lines share
 one of their first ``n - ceil(0.8 n) + 1`` words.  The lines under a first word are held against each other by
@@ -97,7 +97,8 @@ ROWS = "word int, doc_id long, h int, line int, n int, pos int, s long"
 
 def first_words(min_words: int, percent: int, levels: np.ndarray):
     """doc_id, h, text -> a row for each first word of each line.  Left out are lines whose set the task has met in an
-    earlier line, so that the first line of a set sends its rows whatever the order and the tasks."""
+    earlier line, so that the first line of a set sends its rows whatever the order and the tasks; and lines so
+    short that only an equal set is similar, which need no pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, names = {}, [x.split()[0] for x in ROWS.split(", ")]
@@ -108,6 +109,8 @@ def first_words(min_words: int, percent: int, levels: np.ndarray):
                 documents = list(zip(ids, h))
                 for row, line, tokens in line_sets(part.column(2), min_words):
                     key, n = set_key(tokens), len(tokens)
+                    if 100 * n < percent * (n + 1):  # one word more or less is too much
+                        continue
                     # lines of a document come in order, so its place alone says which line is earlier
                     if documents[row] >= seen.get(key, AFTER):
                         continue
@@ -338,5 +341,5 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs, details=True)
+    out = dedup_lines(docs, min_words=1, details=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -401,6 +401,29 @@ def test_lines_in_any_order(spark):
     assert bag(got, "doc_id", "text") == expect
 
 
+def test_short_lines(spark, tmp_path):
+    """Lines of few distinct words are lines as well, in the query and in the pipeline."""
+    import corpus_pipeline
+
+    rows = [
+        (1, "All rights reserved.\n\nx x x x x\nfour words of one\nkeep"), (2, "reserved. ALL rights\n\nx\nfour words of one more\nAll rights"),
+        (3, "one\ntwo two\n \none"), (4, "All rights reserved.\nfive more words of one four"), (4, "All rights reserved.\nfive more words of one four"), (None, "keep"),
+    ]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
+    expect = brute_lines(order, least=1)
+    got = line_dedup.op7_line_dedup(spark, str(tmp_path))
+    assert bag(got, "doc_id", "n_lines", "n_removed", "kept_sha256") == Counter((i, n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, gone in expect)
+    left = corpus_pipeline.without_repeated_lines(spark, spark.read.parquet(path), str(tmp_path))
+    assert bag(left, "doc_id", "text") == Counter((i, t) for i, t, _, gone in expect if not gone or t.strip())
+
+
+def test_short_lines_of_documents(real):
+    expect = Counter((i, t) for i, t, *_ in brute_lines(sorted((r.doc_id, r.text) for r in real.collect()), least=1))
+    assert bag(line_dedup.dedup_lines(real, min_words=1), "doc_id", "text") == expect
+
+
 # ---------------------------------------------------------------- 8: media
 
 
