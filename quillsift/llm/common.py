@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words: runs of anything but space and the controls 9 to 13.  Same meaning in Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,21 +21,68 @@ BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A new folder in the one that every executor sees, spark.checkpoint.dir.  Where that is unset a temporary
+    folder does for a local session; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "quillsift-shared")
         os.makedirs(root.removeprefix("file://"), exist_ok=True)
     return root.rstrip("/") + "/quillsift-" + uuid.uuid4().hex[:12]
 
 
+#: Shuffle files go when the write that made them has ended: nothing reads them again.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession):
+    """What runs inside leaves no shuffle files."""
+    was = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if was is None else spark.conf.set(CLEAN, was)
+
+
 def staged(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, so a lost
     executor costs a re-read and not a recomputation."""
     path = f"{shared_root(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Bits of a bitmap.
+BITS = 1 << 22
+
+
+def bitmap(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """A bitmap of fixed size of the rows' hashes.  Rows it lets through that aren't wanted fall out in the join after it."""
+    used = rows.select(F.pmod(F.xxhash64(*columns), F.lit(BITS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
+    out = np.zeros(BITS, dtype=bool)
+    out[used] = True
+    return np.packbits(out)
+
+
+def in_bitmap(bits: np.ndarray, columns: list):
+    def run(b: pd.Series) -> pd.Series:
+        b = b.to_numpy()
+        return pd.Series((bits[b >> 3] >> (7 - (b & 7))) & 1 == 1)
+
+    return F.pandas_udf(run, "boolean")(F.pmod(F.xxhash64(*columns), F.lit(BITS)).cast("int"))

@@ -1,304 +1,130 @@
-"""Line dedup: an exact set-similarity join of lines.
+"""Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
 A line is the set of its words (runs of anything but ASCII white space, A-Z lower-cased).  It is removed if an earlier
 line, by doc_id and place, has a Jaccard similarity of 0.8 or more with it; what counts is the input, so
 a line that is removed itself still removes later ones.  Lines of fewer than ``min_words`` distinct words
 stay and remove nothing; the query and the pipeline take 1, so that only blank lines do.
 
-Words are ordered by rarity (a count sketch of 2**20 slots over all lines, ties by hash), and two similar lines share
-one of their first ``n - ceil(0.8 n) + 1`` words.  The lines under a first word are held against each other by
-length, position and a 64-bit sketch of their words, whose differing bits are a lower bound for the differing
-words.  One witness is enough, so a line sends its first few only; the witnesses are verified on the words.
-Lines that had more witnesses than they sent, and were not removed, send all of them in a second round.
-The lines under a word that very many have go through in blocks; what its own block doesn't remove meets the
-others in the second round, dealt out by salt.  Lines that are equal as sets need no such pairs.
-
-The main path has Python in it.  A version of DataFrame functions only gave the same rows, but could
-not meet the limits of the check tool (README, op7_line_dedup).
+Lines of the same text are one class: the first stays to stand for it, the others go.  Words are ordered by rarity
+(counts over all lines in 2**17 slots, ties by hash), and two similar lines share one of their first
+``n - ceil(0.8 n) + 1`` words, on which the first lines are joined with filters by length, by position and by a 64-bit sketch,
+whose differing bits are a lower bound for the differing words.  A semi-join finds the rows that pass
+with any other, at most one for each row, however many lines a word has.  Their lines are fetched and verified on the words: first against
+the earliest line under each shared word, which settles groups of near copies by a pair a line and word; what
+is not removed by that meets all earlier lines that pass.
 
 Edge cases: null text stays null, empty text empty; of repeated rows all but one lose the lines that the
-first has; a null doc_id comes before all others; lines are split at \\n and joined by it; an empty table gives
-no rows; extra columns stay as they are.
+first has; a null doc_id comes before all others, and rows of one doc_id are ordered by a hash of their text; lines are split at
+\\n and joined by it, whole texts and lines of any length; of lines that are equal the one that comes first stays; an empty table gives
+no rows; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
-from .ngram_join import runs, set_key
-from .words import Hashed, mix64, slices
+from .common import LOWER, UPPER, dropped, staged
 
-SLOTS = 1 << 20
-SHIFT = np.uint64(44)
-#: Witnesses that a line sends for each first word in the first round.
-WITNESSES = 3
-#: Runs up to this length are handled all together.
-SHORT = 64
-#: Bits of a bitmap.
-BITS = 1 << 22
-#: Lines of a word's part, about.
-PART = 1 << 14
+SLOTS = 1 << 17
+#: Lines of so many words have a sketch of 128 bits.
+LONG = 64
 NO_ID = -(1 << 63)
-#: Later than any document.
-AFTER = (1 << 63, 0)
 AT = ["doc_id", "h", "line"]
-ROW = [*AT, "n", "pos", "s"]
-
-
-def line_sets(column: pa.Array, min_words: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, line number, distinct word hashes ascending) of each line with words enough."""
-    words = Hashed(column, with_lines=True)
-    row = np.repeat(np.arange(len(column)), np.diff(words.starts))
-    line = words.lines + row
-    order = np.lexsort((words.hashes, line))
-    line, row, tokens = line[order], row[order], words.hashes[order]
-    new = np.append(True, (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1]))[: len(line)]
-    line, row, tokens = line[new], row[new], tokens[new]
-    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))[: len(line)]
-    sizes = np.diff(np.append(first, len(line)))
-    enough = sizes >= min_words
-    numbers = line[first] - row[first] - words.row_breaks[row[first]]
-    for r, number, lo, n in zip(*(x[enough].tolist() for x in (row[first], numbers, first, sizes))):
-        yield r, number, tokens[lo : lo + n]
-
-
-def describe(min_words: int):
-    """doc_id, h, text -> kind 0: doc_id, h, line, set key; kind 1: slot and count of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, names = np.zeros(SLOTS, dtype=np.int64), ["kind", "doc_id", "h", "line", "value"]
-        for batch in batches:
-            for part in slices(batch, 2):
-                rows, sets = [], []
-                ids, h = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for row, line, tokens in line_sets(part.column(2), min_words):
-                    rows.append((0, ids[row], h[row], line, set_key(tokens)))
-                    sets.append(tokens)
-                if rows:
-                    slot, n = np.unique((np.concatenate(sets) >> SHIFT).astype(np.int64), return_counts=True)
-                    slots[slot] += n
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=names)
-        used = np.flatnonzero(slots > 1)  # what a task meets once is rare enough
-        zero = np.zeros(len(used), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(used), pa.array(zero), pa.array(zero), pa.array(slots[used])], names=names)
-
-    return run
-
-
-ROWS = "word int, doc_id long, h int, line int, n int, pos int, s long"
-
-
-def first_words(min_words: int, percent: int, levels: np.ndarray):
-    """doc_id, h, text -> a row for each first word of each line.  Left out are lines whose set the task has met in an
-    earlier line, so that the first line of a set sends its rows whatever the order and the tasks; and lines so
-    short that only an equal set is similar, which need no pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, names = {}, [x.split()[0] for x in ROWS.split(", ")]
-        for batch in batches:
-            for part in slices(batch, 2):
-                firsts, lines = [], []
-                ids, h = part.column(0).to_pylist(), part.column(1).to_pylist()
-                documents = list(zip(ids, h))
-                for row, line, tokens in line_sets(part.column(2), min_words):
-                    key, n = set_key(tokens), len(tokens)
-                    if 100 * n < percent * (n + 1):  # one word more or less is too much
-                        continue
-                    # lines of a document come in order, so its place alone says which line is earlier
-                    if documents[row] >= seen.get(key, AFTER):
-                        continue
-                    seen[key] = documents[row]
-                    level = levels[(tokens >> SHIFT).astype(np.int64)]
-                    ordered = np.sort((level.astype(np.uint64) << np.uint64(57)) | (tokens & np.uint64((1 << 57) - 1)))
-                    first = ordered[: n - (percent * n + 99) // 100 + 1]
-                    sketch = np.bitwise_or.reduce(np.uint64(1) << (tokens & np.uint64(63)))
-                    firsts.append(first)
-                    lines.append((ids[row], h[row], line, n, sketch, len(first)))
-                if not firsts:
-                    continue
-                word, sizes = np.concatenate(firsts), np.array([x[5] for x in lines])
-                each = lambda i, t: np.repeat(np.array([x[i] for x in lines], dtype=t), sizes)
-                pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                # 32 bits of a word do: what they mix up, verification sorts out
-                word = (mix64(word) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                cols = [word, each(0, np.int64), each(1, np.int32), each(2, np.int32), each(3, np.int32), pos.astype(np.int32), each(4, np.uint64).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    return run
-
-
-def passing(n: np.ndarray, pos: np.ndarray, s: np.ndarray, a, b, percent: int) -> np.ndarray:
-    """Whether the lines at places ``a`` and ``b`` (arrays, or one place) pass the filters."""
-    x, y = n[a], n[b]
-    need = -(-percent * (x + y) // (100 + percent))
-    most = np.minimum(pos[a], pos[b]) + np.minimum(x - pos[a], y - pos[b])
-    return (most >= need) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (np.bitwise_count(s[a] ^ s[b]) <= x + y - 2 * need)
-
-
-PAIRS = ", ".join(f"{c}{i} {t}" for i in (1, 2) for c, t in (("doc_id", "long"), ("h", "int"), ("line", "int"))) + ", more boolean"
-
-
-def witnesses(percent: int, most: int | None):
-    """Rows by key -> (later line, earlier line, whether the later one has to ask again).
-
-    ``most``: earlier lines that a line sends, None for all; lines of a block that isn't the whole run
-    ask again, a pair with themselves says so.  Only rows with ``asks`` set are later lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["key", "doc_id", "h", "line", "n", "pos", "s", "asks"]
-        names, before = [x.split()[0] for x in PAIRS.split(", ")], None
-        for key, doc_id, h, line, n, pos, s, asks in runs(batches, columns, None if most is None else PART):
-            # short runs: all runs together, a distance after the other; then line by line in long runs
-            order = np.lexsort((line, h, doc_id, key))
-            key, doc_id, h, line, n, pos, s, asks = (x[order] for x in (key, doc_id, h, line, n.astype(np.int64), pos.astype(np.int64), s.view(np.uint64), asks))
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(starts, len(key)))
-            size = np.repeat(sizes, sizes)
-            left, right, more = [], [], []
-            sent = np.zeros(len(key), dtype=np.int64)
-            at = np.flatnonzero((size > 1) & (size <= SHORT) & asks)
-            rank = np.arange(len(key)) - np.repeat(starts, sizes)
-            for step in range(1, SHORT):
-                at = at[rank[at] >= step]
-                if not len(at):
-                    break
-                hit = at[passing(n, pos, s, at, at - step, percent)]
-                if most is not None:
-                    more.append(hit[sent[hit] >= most])
-                    hit = hit[sent[hit] < most]
-                    sent[hit] += 1
-                left.append(hit)
-                right.append(hit - step)
-            over = np.zeros(len(key), dtype=bool)
-            for x in more:
-                over[x] = True
-            for lo, m in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
-                for i in lo + 1 + np.flatnonzero(asks[lo + 1 : lo + m]):
-                    found = lo + np.flatnonzero(passing(n, pos, s, slice(lo, i), i, percent))
-                    if most is not None and len(found) > most:
-                        found, over[i] = found[:most], True
-                    left.append(np.full(len(found), i))
-                    right.append(found)
-            if most is not None:
-                parted = (size >= PART) | (key == before)
-                itself = np.flatnonzero(parted)
-                left.append(itself)
-                right.append(itself)
-                over |= parted
-            before = key[-1]
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in (a, b) for x in (doc_id, h, line)] + [pa.array(over[a])], names=names)
-
-    return run
-
-
-def bitmap(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """A bitmap of fixed size of the rows' hashes.  Rows it lets through that aren't wanted fall out in the join after it."""
-    used = rows.select(F.pmod(F.xxhash64(*columns), F.lit(BITS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
-    out = np.zeros(BITS, dtype=bool)
-    out[used] = True
-    return np.packbits(out)
-
-
-def in_bitmap(bits: np.ndarray, columns: list):
-    def run(b: pd.Series) -> pd.Series:
-        b = b.to_numpy()
-        return pd.Series((bits[b >> 3] >> (7 - (b & 7))) & 1 == 1)
-
-    return F.pandas_udf(run, "boolean")(F.pmod(F.xxhash64(*columns), F.lit(BITS)).cast("int"))
-
-
-def all_sets(min_words: int):
-    """doc_id, h, text -> doc_id, h, line, words (five bytes a word) of every line with words enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 2):
-                ids, h, rows = part.column(0).to_pylist(), part.column(1).to_pylist(), []
-                for r, i, tokens in line_sets(part.column(2), min_words):
-                    rows.append((ids[r], h[r], i, np.ascontiguousarray(tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=[*AT, "words"])
-
-    return run
-
-
-def similar(percent: int):
-    """doc_id, h, line, u, v -> the lines whose sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for u, v in zip(batch.column(3), batch.column(4)):
-                a, b = (np.frombuffer(x.as_buffer(), dtype="V5").tolist() for x in (u, v))
-                both = len(set(a).intersection(b))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=AT).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """The later lines of the pairs that are similar, by their words.  The lines named are picked out where the documents
-    are read, by a bitmap, so that no text is shuffled."""
-    one = [pairs.select(*[F.col(f"{c}{i}").alias(c) for c in AT]) for i in (1, 2)]
-    wanted = bitmap(one[0].union(one[1]), AT)
-    sets = docs.mapInArrow(all_sets(min_words), "doc_id long, h int, line int, words binary").filter(in_bitmap(wanted, AT))
-    sets = staged(sets, "words")
-    u = sets.select(*[F.col(c).alias(f"{c}1") for c in AT], F.col("words").alias("u"))
-    v = sets.select(*[F.col(c).alias(f"{c}2") for c in AT], F.col("words").alias("v"))
-    both = pairs.join(v, [f"{c}2" for c in AT]).join(u, [f"{c}1" for c in AT]).select(*[F.col(f"{c}1").alias(c) for c in AT], "u", "v")
-    return both.mapInArrow(similar(percent), "doc_id long, h int, line int").distinct()
-
-
-def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
-    """``docs``: doc_id, h, text.  doc_id, h, line of the lines to remove (of repeated rows: those of one of them)."""
-    found = staged(docs.mapInArrow(describe(min_words), "kind int, doc_id long, h int, line int, value long"), "lines")
-    counts = found.filter("kind = 1").groupBy("doc_id").agg(F.sum("value").alias("n")).toPandas()  # SLOTS rows at most
-    levels = np.zeros(SLOTS, dtype=np.uint8)
-    if len(counts):
-        levels[counts["doc_id"].to_numpy()] = np.minimum(127, np.ceil(2 * np.log2(counts["n"].to_numpy()))).astype(np.uint8)
-    lines = found.filter("kind = 0").select(F.col("value").alias("key"), F.struct(*AT).alias("at"))
-    first = lines.groupBy("key").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    done = staged(lines.join(first, "key").filter("at != first_at").select("at.*").distinct(), "copies")
-
-    rows = docs.mapInArrow(first_words(min_words, percent, levels), ROWS)
-    own = rows.select(F.col("word").alias("key"), *ROW, F.lit(True).alias("asks"))
-    pairs = own.repartition("key").sortWithinPartitions("key").mapInArrow(witnesses(percent, WITNESSES), PAIRS)
-    later, earlier = ([f"{c}{i}" for c in AT] for i in (1, 2))
-    pairs = pairs.groupBy(*later, *earlier).agg(F.max("more").alias("more"))
-    pairs = staged(pairs.join(done.select(*[F.col(c).alias(f"{c}1") for c in AT]), later, "left_anti"), "pairs")
-    itself = F.struct(*later) == F.struct(*earlier)
-    # one witness of each line first
-    one = pairs.filter(~itself).groupBy(*later).agg(F.min(F.struct(*earlier)).alias("e")).select(*later, "e.*")
-    done = staged(done.union(verified(docs, staged(one, "pairs"), percent, min_words)).distinct(), "done")
-    rest = pairs.filter(~itself).join(one, [*later, *earlier], "left_anti").join(done.select(*[F.col(c).alias(f"{c}1") for c in AT]), later, "left_anti")
-    rest = staged(rest.select(*later, *earlier), "pairs")
-    if not rest.isEmpty():
-        done = staged(done.union(verified(docs, rest, percent, min_words)).distinct(), "done")
-
-    # lines with more witnesses than they sent, and lines of runs that went through in blocks
-    asks = pairs.filter("more").select(*[F.col(f"{c}1").alias(c) for c in AT]).distinct()
-    asks = staged(asks.join(done, AT, "left_anti"), "rest")
-    if not asks.isEmpty():
-        asking = staged(rows.join(asks, AT, "left_semi"), "asking")
-        asked = staged(rows.join(asking.select("word").distinct(), "word", "left_semi"), "asked")
-        salts = asked.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("salts"))
-        parts = asking.join(salts, "word").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        asked = asked.join(salts, "word").withColumn("salt", F.pmod(F.hash(*AT), F.col("salts")))
-        key = (F.col("word").cast("long") * (1 << 24) + F.col("salt")).alias("key")
-        both = asked.select(key, *ROW, F.lit(False).alias("asks")).union(parts.select(key, *ROW, F.lit(True).alias("asks")))
-        pairs = both.repartition("key").sortWithinPartitions("key").mapInArrow(witnesses(percent, None), PAIRS)
-        pairs = staged(pairs.filter(~itself).drop("more").distinct(), "pairs")
-        done = done.union(verified(docs, pairs, percent, min_words)).distinct()
-    return done
+#: White space within a line besides the space itself, each of which is rare.
+CONTROLS = ["\t", "\x0b", "\x0c", "\r"]
+#: Characters beside ASCII and Latin-1 letters of lower case, which may have a lower case themselves.
+CASED = r"[^\x00-\xBF\xDF-\xF6\xF8-\xFF]"
+#: The rows a and b of a word pass the sketch, length and position filters: sets that share o of n + m words differ by n + m - 2 o.
+PASSES = f"""
+    a.word = b.word AND (100 + {{p}}) * bit_count(a.s ^ b.s) <= (100 - {{p}}) * (a.n + b.n)
+    AND {{p}} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+    AND (100 + {{p}}) * (least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos)) >= {{p}} * (a.n + b.n)
+    AND (a.n < {LONG} OR b.n < {LONG} OR (100 + {{p}}) * (bit_count(a.z ^ b.z) + bit_count(a.s ^ a.z ^ b.s ^ b.z)) <= (100 - {{p}}) * (a.n + b.n))
+"""
+EARLIER = "struct(a.doc_id, a.h, a.line) < struct(b.doc_id, b.h, b.line)"
+
+
+def spaced(line: Column) -> Column:
+    """A line with spaces for other white space."""
+    some = F.contains(line, F.lit(CONTROLS[0]))
+    for c in CONTROLS[1:]:
+        some = some | F.contains(line, F.lit(c))
+    return F.when(some, F.translate(line, "".join(CONTROLS), "    ")).otherwise(line)
+
+
+def lowered(line: Column) -> Column:
+    """A-Z lower-cased; letter by letter only where other characters have a lower case too."""
+    other = (F.octet_length(line) != F.length(line)) & line.rlike(CASED)
+    return F.when(other, F.translate(line, UPPER, LOWER)).otherwise(F.lower(line))
+
+
+def words_of(line: str) -> Column:
+    return F.array_remove(F.array_distinct(F.split(lowered(spaced(F.col(line))), " ")), "")
+
+
+def levels(docs: DataFrame) -> Column:
+    """An array literal: twice the logarithm of how many words fall on each slot of their hashes, in the seven bits above 56."""
+    lines = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
+    slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    counts = lines.select(F.explode(F.split("line", " ")).alias("word")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    found = {r.slot: min(126, (r.n * r.n).bit_length()) << 56 for r in counts.collect()}  # SLOTS rows at most
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(SLOTS))), ",").cast("array<bigint>")
+
+
+def first_lines(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """doc_id, h, line, n, s, z (sketch), firsts (the rarest words' codes) of the first line of each text.
+
+    A word's code is its level and 56 bits of hash.  The sketch s has the parity of how many words fall on each of 64 bits, z of those
+    of one half of all words, for long lines."""
+    rank, one, zero = levels(docs), F.lit(1).cast("long"), F.lit(0).cast("long")
+    lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "txt"))
+    lines = lines.select(*AT, F.xxhash64("txt").alias("k1"), F.xxhash64(F.lit(1), "txt").alias("k2"), lowered(spaced(F.col("txt"))).alias("txt"))
+    words = F.array_remove(F.array_distinct(F.transform(F.split("txt", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    code = lambda w: F.get(rank, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
+    lines = lines.select(*AT, "k1", "k2", F.sort_array(F.transform(words, code)).alias("codes"))
+    place = lambda w: F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int")
+    s = F.aggregate("codes", zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", one, place(w))))
+    half = lambda w: F.shiftright(w, 26).bitwiseAND(one)
+    z = F.when(F.size("codes") < LONG, zero).otherwise(F.aggregate("codes", zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", half(w), place(w)))))
+    n = F.size("codes")
+    firsts = F.slice("codes", F.lit(1), n - F.expr(f"cast(({percent} * size(codes) + 99) div 100 as int)") + 1)
+    drawn = lines.select(*AT, "k1", "k2", n.alias("n"), s.alias("s"), z.alias("z"), firsts.alias("firsts"))
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*AT))
+    return drawn.withColumn("nth", nth).filter((F.col("nth") == 1) & (F.col("n") >= min_words)).drop("nth", "k1", "k2")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id of the later lines (b) whose words are similar enough to those of the earlier one (a)."""
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "words": "u"}), "a").join(sets.withColumnsRenamed({"id": "b", "words": "v"}), "b")
+    shared = F.size(F.array_intersect("u", "v"))
+    return both.filter(100 * shared >= percent * (F.size("u") + F.size("v") - shared)).select(F.col("b").alias("id")).distinct()
+
+
+def lines_of(docs: DataFrame, at: DataFrame, twice: bool) -> DataFrame:
+    """id, words of the lines named (id, doc_id, h, line)."""
+    wanted = at.groupBy("doc_id", "h").agg(F.collect_set(F.struct("line", "id")).alias("wanted"))  # of one document each
+    some = docs.join(wanted, ["doc_id", "h"])
+    some = some.dropDuplicates(["doc_id", "h"]) if twice else some
+    lines = some.withColumn("lines", F.split("text", "\n")).select("lines", F.explode("wanted").alias("at"))
+    return lines.select("at.id", F.get("lines", F.col("at.line")).alias("line")).select("id", words_of("line").alias("words"))
+
+
+def kept_lines(docs: DataFrame, percent: int, min_words: int, twice: bool) -> DataFrame:
+    """``docs``: doc_id, h, text.  doc_id, h, line of the lines with words enough that stay."""
+    first = staged(first_lines(docs, percent, min_words).withColumn("id", F.monotonically_increasing_id()), "first")
+    passes = PASSES.format(p=percent)
+    rows = first.select("n", "s", "z", "id", F.posexplode("firsts").alias("pos", "word"))
+    narrow = staged(rows.alias("a").join(rows.alias("b"), F.expr(f"a.id != b.id AND {passes}"), "left_semi"), "met")
+    met = staged(narrow.join(first.select("id", *AT), "id"), "met")
+    sets = staged(lines_of(docs, met.select("id", *AT).distinct(), twice), "sets")
+    pairs = lambda a, b: a.alias("a").join(b.alias("b"), F.expr(f"{passes} AND {EARLIER}")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    lead = met.groupBy("word").agg(F.min(F.struct(*AT, "id", "n", "pos", "s", "z")).alias("r")).select("word", "r.*")
+    gone = staged(verified(pairs(lead, met), sets, percent), "gone")
+    more = staged(verified(pairs(met, met.join(gone, "id", "left_anti")), sets, percent), "gone")
+    kept = staged(first.join(gone.union(more), "id", "left_anti").select(*AT), "kept")
+    dropped(first, narrow, met, sets, gone, more)
+    return kept
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details: bool = False, drop_emptied: bool = False) -> DataFrame:
@@ -308,35 +134,25 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, details:
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     # where no doc_id occurs twice, it is enough to name a document
     twice = not docs.groupBy(doc_id.alias("doc_id")).count().filter("count > 1").isEmpty()
-    key = [doc_id, F.hash("text") if twice else F.lit(0)]
-    gone = removed_lines(docs.select(key[0].alias("doc_id"), key[1].alias("h"), "text"), percent, min_words)
-    gone = staged(gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone")), "gone")
-    keyed = docs.withColumns({"__id": key[0], "__h": key[1]})
-    if not twice:  # only documents that lose lines (and some that the bitmap lets through) meet the list of lines
-        touched = in_bitmap(bitmap(gone, ["doc_id", "h"]), ["__id", "__h"])
-        keyed = keyed.withColumn("__touched", touched)
-        whole = keyed.filter(~F.col("__touched")).drop("__id", "__h", "__touched")
-        if details:
-            n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-            whole = whole.withColumns({"n_lines": n, "n_removed": F.lit(0).cast("long")})
-        keyed = keyed.filter("__touched").drop("__touched")
-    x, g = keyed.alias("x"), gone.alias("g")
-    joined = x.join(g, (F.col("x.__id") == F.col("g.doc_id")) & (F.col("x.__h") == F.col("g.h")), "left")
-    nth = F.row_number().over(Window.partitionBy("x.__id", "x.__h").orderBy("x.__h"))
-    lines = F.split(F.col("x.text"), "\n")
-    words = lambda s: F.size(F.array_distinct(F.array_remove(F.split(F.lower(s), "[ \\x09-\\x0D]+"), "")))
-    kept = F.when(nth > 1, F.filter(lines, lambda s: words(s) < min_words)).when(F.col("g.gone").isNull(), lines).otherwise(F.filter(lines, lambda s, i: ~F.array_contains(F.col("g.gone"), i)))
-    out = joined.withColumn("__kept", kept)
-    text = F.when(F.col("x.text").isNotNull(), F.array_join("__kept", "\n")).alias("text")
-    columns = [text if c == "text" else F.col(f"x.`{c}`") for c in docs.columns]
-    if details:
-        n = F.coalesce(F.size(lines), F.lit(0))
-        columns += [F.when(F.col("x.text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("x.text").isNull(), 0).otherwise(n - F.size("__kept")).cast("long").alias("n_removed")]
+    keyed = docs.select(doc_id.alias("doc_id"), (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("h"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    kept = kept_lines(keyed.select("doc_id", "h", "text"), percent, min_words, twice)
+    kept = kept.groupBy("doc_id", "h").agg(F.collect_set("line").alias("kept"))  # of one document each
+    out = keyed.join(kept, ["doc_id", "h"], "left")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h")) if twice else F.lit(1)
+    lines, every = F.split("text", "\n"), F.sequence(F.lit(0), F.size("lines") - 1)
+    taking_part = F.filter(every, lambda i: F.get("lines", i).rlike("[^ \\x09-\\x0D]") if min_words == 1 else F.size(F.array_remove(F.array_distinct(F.split(lowered(spaced(F.get("lines", i))), " ")), "")) >= min_words)
+    out = out.withColumn("lines", lines).withColumn("nth", nth)
+    stay = F.when(F.col("kept").isNull() | (F.col("nth") > 1), F.array().cast("array<int>")).otherwise(F.col("kept"))
+    out = out.withColumn("every", F.when(F.col("text").isNotNull(), every)).withColumn("gone", F.array_except(F.when(F.col("text").isNotNull(), taking_part), stay))
+    some = F.size("gone") > 0
+    text = F.when(some, F.array_join(F.transform(F.array_except("every", "gone"), lambda i: F.get("lines", i)), "\n")).otherwise(F.col("text"))
+    out = out.select("row", text.alias("text"), F.col("text").isNull().alias("absent"), some.alias("some"), F.size("lines").alias("n"), F.size("gone").alias("m"))
     if drop_emptied:
-        lost = F.col("x.text").isNotNull() & (F.size("__kept") < F.size(lines))
-        out = out.filter(~lost | F.array_join("__kept", "").rlike("[^ \\x09-\\x0D]"))
-    out = out.select(*columns)
-    return out if twice else out.union(whole)
+        out = out.filter(F.col("absent") | ~F.col("some") | F.col("text").rlike("[^ \\x09-\\x0D]"))
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    if details:
+        columns += [F.when(F.col("absent"), 0).otherwise(F.col(c)).cast("long").alias(name) for c, name in (("n", "n_lines"), ("m", "n_removed"))]
+    return out.select(*columns)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

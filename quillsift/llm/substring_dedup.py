@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_root, staged
-from .line_dedup import bitmap, in_bitmap
+from .common import bitmap, in_bitmap, shared_root, staged
 from .words import Hashed, slices
 
 WINDOW = 20

@@ -365,12 +365,7 @@ def brute_lines(pairs, percent=80, least=5):
     return out
 
 
-@pytest.mark.parametrize("most", [3, 1])
-def test_lines(docs, none, rows, monkeypatch, most):
-    monkeypatch.setattr(line_dedup, "WITNESSES", most)
-    if most == 1:
-        monkeypatch.setattr(line_dedup, "PART", 4)
-        monkeypatch.setattr(line_dedup, "SHORT", 2)
+def test_lines(docs, none, rows):
     order = sorted(((r[0] if r[0] is not None else -1, r[1]) for r in rows), key=lambda r: r[0])
     expect = Counter((None if i == -1 else i, *x) for i, *x in brute_lines(order))
     got = line_dedup.dedup_lines(docs, details=True)
@@ -379,11 +374,7 @@ def test_lines(docs, none, rows, monkeypatch, most):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [3, 1])
-def test_lines_of_documents(spark, real, monkeypatch, most):
-    monkeypatch.setattr(line_dedup, "WITNESSES", most)
-    if most == 1:
-        monkeypatch.setattr(line_dedup, "PART", 8)
+def test_lines_of_documents(spark, real):
     expect = Counter((i, t) for i, t, *_ in brute_lines(sorted((r.doc_id, r.text) for r in real.collect())))
     assert bag(line_dedup.dedup_lines(real), "doc_id", "text") == expect
 
@@ -528,3 +519,25 @@ def test_overlapping_members(spark):
     d = spark.createDataFrame([(i, "w " * 10, "x", ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b"]) for i in range(30)], "doc_id long, text string, source string, m array<string>")
     got = mixing.mix(d, weights=(1, 1), share=1.0, members=F.col("m")).collect()
     assert sum(r.taken for r in got) == 300 + 100  # the shared documents count for both sources
+
+
+def test_lines_long_and_near(spark):
+    """Lines about the size where the sketch changes, near the least similarity, and other white space and cases."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(120):
+        n = int(rng.integers(55, 75))
+        base = [f"q{i % 12}x{j}É" if j % 9 == 0 else f"q{i % 12}X{j}" for j in range(n)]
+        for _ in range(int(rng.integers(0, n // 4))):
+            base[int(rng.integers(0, n))] = f"r{int(rng.integers(0, 10**6))}"
+        rows.append((i, "\t".join(base[:20]) + "  " + " ".join(w.lower() if i % 2 and w.isascii() else w for w in base[20:])))
+    expect = Counter((i, t) for i, t, *_ in brute_lines(rows))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert bag(got, "doc_id", "text") == expect
+    assert 0 < sum(t == "" for _, t in expect) < 120
+
+
+def test_lines_clashing_names(spark):
+    names = ["row", "kept", "lines", "gone", "every", "nth", "h", "id", "n", "a.b", "__kept", "__h"]
+    rows = [(1, "one two three four five\nx", *names), (2, "five four three two one", *names)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, ["doc_id", "text", *names]), details=True, drop_emptied=True).collect()
+    assert [tuple(r) for r in got] == [(1, rows[0][1], *names, 2, 0)]
