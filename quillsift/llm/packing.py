@@ -201,16 +201,16 @@ class Tokens:
     The vocabulary's pattern splits a lower-cased text in runs of letters, single digits and runs of
     other characters, and never spans white space.  So a text is the sum of its words, a plain word (printable
     ASCII and Latin-1 without apostrophes, which may start contractions) the sum of such parts, and each
-    is tokenized once for a worker's cache.  Parts go to the tokenizer many at a time, one space apart;
+    is tokenized once for a worker's caches of bounded size.  Parts go to the tokenizer many at a time, one space apart;
     a part's last token is the only one that ends in </w>.  Other words go to the tokenizer as they are.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tool, self.cache, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tool, self.cache, self.old, self.parts = Tokenizer.from_file(path), {}, {}, {}
         self.words = re.compile(r"[^ \t\n\v\f\r]+").findall
         self.plain = re.compile(r"(?:(?!<\|)[!-&(-~¡-ÿ])+").fullmatch
         letters, digits = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
@@ -236,27 +236,66 @@ class Tokens:
                     self.parts[part] = data[4 * start : 4 * end]
                     start = end
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The cache with these words in it.  Full caches become old ones, from which words that come again are taken over."""
         if len(self.cache) > self.LIMIT:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         if len(self.parts) > self.LIMIT:
-            self.parts.clear()
-        plain = {w: (w.lower(),) if w.isascii() and w.isalpha() else self.split(w.lower()) for w in words if self.plain(w)}
-        other = [w for w in words if w not in plain]
+            self.parts = {}
+        whole, plain, other = [], {}, []
+        for w in words:
+            if (ids := self.old.get(w)) is not None:
+                self.cache[w] = ids
+            elif w.isascii() and w.isalpha():
+                whole.append(w)
+            elif self.plain(w):
+                plain[w] = self.split(w.lower())
+            else:
+                other.append(w)
+        lower = [w.lower() for w in whole]
         self.cache.update(zip(other, self.each(other)))
-        self.learn_parts(list({p for ps in plain.values() for p in ps}.difference(self.parts)))
+        self.learn_parts(list(set(lower).union(*plain.values()).difference(self.parts)))
         get = self.parts.__getitem__
+        self.cache.update(zip(whole, map(get, lower)))
         for w, ps in plain.items():
-            self.cache[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+            self.cache[w] = b"".join(map(get, ps))
+        return self.cache
+
+    def lower(self, text: str) -> str:
+        """Words of Latin-1 have one form the less in lower case; the tokenizer lower-cases as well."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # str.split also splits at four control characters that the vocabulary's pattern takes as signs
+        texts = [t.lower() if t.isascii() else self.lower(t) for t in texts]
         words = [self.words(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        every = set().union(*words)
-        if new := every.difference(self.cache):
-            self.learn(every if len(self.cache) > self.LIMIT else new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        get = self.cache.get
+        found = [list(map(get, ws)) for ws in words]
+        gaps = [[j for j, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        new = {ws[j] for ws, js in zip(words, gaps) for j in js}
+        if new:
+            get = self.learn(new).__getitem__
+            for ws, f, js in zip(words, found, gaps):
+                for j in js:
+                    f[j] = get(ws[j])
+        return [b"".join(f) for f in found]
+
+
+#: One for a worker and vocabulary; what it has learned serves its next tasks as well.
+_tokens: dict[str, Tokens] = {}
+
+
+def tokens(path: str) -> Tokens:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -266,15 +305,12 @@ def cutter(path: str, capacity: int, with_ids: bool):
     """mapInArrow function: doc_id, text to pieces of at most ``capacity`` ids, each document ending in id 0."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = Tokens(path)
+        tool = tokens(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 out: list[list] = [[], [], [], [], []] + [[]] * with_ids
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode([t or "" for t in part.column(1).to_pylist()])):
+                for doc_id, ids in zip(part.column(0).to_pylist(), tool.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += b"\0\0\0\0"
                     for n, start in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[start : start + 4 * capacity]
