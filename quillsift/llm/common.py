@@ -7,9 +7,7 @@ import os
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words: runs of anything but space and the controls 9 to 13.  Same meaning in Java, Python and RE2.
@@ -56,12 +54,18 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path, and the file system it is on."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
         for file in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            path, files = file_system(df.sparkSession, file)
+            files.delete(path.getParent(), True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,17 +76,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 BITS = 1 << 22
 
 
-def bitmap(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """A bitmap of fixed size of the rows' hashes.  Rows it lets through that aren't wanted fall out in the join after it."""
-    used = rows.select(F.pmod(F.xxhash64(*columns), F.lit(BITS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
-    out = np.zeros(BITS, dtype=bool)
-    out[used] = True
-    return np.packbits(out)
+def bit(columns: list) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BITS))
+
 
+def bitmap(rows: DataFrame, columns: list) -> Column:
+    """A literal of fixed size with a bit for each row's hash.  It keeps most of the rows that aren't wanted out of a shuffle; those it
+    lets through fall out in the join after it, so a full one costs time and nothing else."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))
+    words = rows.select(bit(columns).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("x"))
+    found = dict(words.collect())  # BITS / 64 rows at most
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(BITS // 64))), ",").cast("array<bigint>")
 
-def in_bitmap(bits: np.ndarray, columns: list):
-    def run(b: pd.Series) -> pd.Series:
-        b = b.to_numpy()
-        return pd.Series((bits[b >> 3] >> (7 - (b & 7))) & 1 == 1)
 
-    return F.pandas_udf(run, "boolean")(F.pmod(F.xxhash64(*columns), F.lit(BITS)).cast("int"))
+def in_bitmap(bits: Column, columns: list) -> Column:
+    b = bit(columns)
+    return F.call_function("shiftright", F.get(bits, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1

@@ -15,7 +15,8 @@ no link between different components is lost: only pairs within a component alre
 
 Edge cases: null and empty texts have an empty set and no links; with fewer words than ``size`` the
 whole sequence is one shingle; repeated rows are copies of each other; an empty table gives no rows;
-extra columns are not carried.
+extra columns are not carried by ``jaccard_groups`` and stay as they are in ``one_of_each``, whatever their names; texts of any length are
+whole; of equal documents and of a group the smallest doc_id stays, of rows that share it the one whose text has the smaller hash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -37,7 +38,7 @@ SHIFT = np.uint64(40)
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 #: Sets under a first shingle up to this number are held against each other at once.
-RUN = 64
+RUN = 4
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -48,7 +49,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
         if hi - lo >= size:
             yield np.unique(every[lo : hi - size + 1])
         else:
-            yield np.array([roll(words.hashes[lo:hi])] if hi > lo else [], dtype=np.uint64)
+            yield roll(words.hashes[lo:hi], hi - lo) if hi > lo else np.zeros(0, dtype=np.uint64)
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -56,49 +57,69 @@ def needed(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
-def set_key(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)) - (1 << 63) if len(tokens) else 0
+def set_keys(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set: 64 that do nearly always, and 64 more."""
+    if not len(tokens):
+        return 0, 0
+    key = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed=len(tokens))
+    return (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
+
+
+def set_key(tokens: np.ndarray, twins: frozenset) -> int:
+    """The first 64 bits, or for the few sets that share them with a different set, ``twins``, the others."""
+    key, more = set_keys(tokens)
+    return more if key in twins else key
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """How many tokens fall in each of 16 to 4096 parts of the hash space, some eight a part; 255 stands for any number more."""
-    bits = min(12, max(4, len(tokens).bit_length() - 3))
-    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    """Of 64 to 4096 parts of the hash space, some two for each token, whether an odd number of tokens falls in them."""
+    bits = min(12, max(6, len(tokens).bit_length() + 1))
+    places = (tokens >> np.uint64(20)) & np.uint64((1 << bits) - 1)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=1 << bits) & 1).tobytes()
+
 
+def fold(x: np.ndarray, size: int) -> np.ndarray:
+    """The sketch that has ``size`` words of 64 bits, of longer ones."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
-def fold(counts: np.ndarray, parts: int) -> np.ndarray:
-    counts = np.where(counts == 255, 1 << 40, counts.astype(np.int64))
-    return counts.reshape(parts, -1).sum(axis=1)
+
+def differ(n, m, percent: int):
+    """What two sets of n and m that are similar enough differ by at most; the bits of their sketches differ by no more."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
 
 
 def sketches_pass(percent: int):
-    """a, b, n, m, u, v (sizes and sketches) -> pairs whose overlap may be large enough: it is at most the sum of the lesser counts."""
+    """a, b, n, m, u, v (sizes and sketches) -> pairs that may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            need = -(-percent * (n + m) // (100 + percent))
             keep = []
-            for u, v, least in zip(batch.column(4), batch.column(5), need.tolist()):
-                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint8) for z in (u, v))
-                parts = min(len(x), len(y))
-                keep.append(int(np.minimum(fold(x, parts), fold(y, parts)).sum()) >= least)
+            for u, v, most in zip(batch.column(4), batch.column(5), differ(n, m, percent).tolist()):
+                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (u, v))
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= most)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def describe(size: int):
-    """doc_id, text_hash, text -> kind 0: doc_id, text_hash, set key, set size, sketch; kind 1: slot and count of shingles."""
+    """doc_id, text_hash, text -> kind 0: doc_id, text_hash, set keys, set size, sketch; kind 1: slot and count of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, slots, total = set(), np.zeros(SLOTS, dtype=np.uint32), 0
-        names = ["kind", "a", "b", "c", "d", "sketch"]
+        names = ["kind", "a", "b", "c", "more", "d", "sketch"]
         for batch in batches:
             for part in slices(batch, 2):
-                keys, sizes, new, sketches = [], [], [], []
+                keys, others, sizes, new, sketches = [], [], [], [], []
                 for tokens in shingle_sets(part.column(2), size):
-                    keys.append(key := set_key(tokens))
+                    key, more = set_keys(tokens)
+                    keys.append(key)
+                    others.append(more)
                     sizes.append(len(tokens))
                     sketches.append(sketch(tokens))
                     if key not in seen:
@@ -108,11 +129,11 @@ def describe(size: int):
                     slot, n = np.unique(np.concatenate(new) >> SHIFT, return_counts=True)
                     slots[slot.astype(np.int64)] += n.astype(np.uint32)
                     total += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), dtype=np.int32)), part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), dtype=np.int32)), part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=names)
         mean = total / SLOTS  # what stands out from chance
         hot = np.flatnonzero(slots >= 3 + mean + 4 * mean**0.5)
         zero = np.zeros(len(hot), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(hot), pa.array(slots[hot].astype(np.int64)), pa.array(zero), pa.array(zero), pa.nulls(len(hot), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(hot), pa.array(slots[hot].astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(zero), pa.nulls(len(hot), pa.binary())], names=names)
 
     return run
 
@@ -123,7 +144,7 @@ def ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(58)) | (tokens & np.uint64((1 << 58) - 1)))
 
 
-def prefixes(size: int, percent: int, levels: np.ndarray):
+def prefixes(size: int, percent: int, levels: np.ndarray, twins: frozenset):
     """doc_id, text_hash, text -> token, set, n, pos for the first tokens of each set that the task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +153,7 @@ def prefixes(size: int, percent: int, levels: np.ndarray):
             for part in slices(batch, 2):
                 cols: list[list] = [[], [], [], []]
                 for tokens in shingle_sets(part.column(2), size):
-                    key, n = set_key(tokens), len(tokens)
+                    key, n = set_key(tokens, twins), len(tokens)
                     if n and key not in seen:
                         seen.add(key)
                         first = ordered(tokens, levels)[: n - int(needed(n, percent)) + 1].view(np.int64)
@@ -211,26 +232,26 @@ def candidates(percent: int):
 
 
 class Sketches:
-    """Sketches of sets in order of size, to bound the overlap of one with many."""
+    """Sketches of sets, to hold one against many."""
 
     def __init__(self, sketches):
-        counts = [np.frombuffer(x, dtype=np.uint8) for x in sketches]
-        self.parts = np.array([len(x) for x in counts])
-        self.own, self.half, self.at = {}, {}, np.zeros(len(counts), dtype=np.int64)
-        for parts in np.unique(self.parts).tolist():
-            i = np.flatnonzero(self.parts == parts)
+        words = [np.frombuffer(x, dtype=np.uint64) for x in sketches]
+        self.size = np.array([len(x) for x in words])
+        self.own, self.half, self.at = {}, {}, np.zeros(len(words), dtype=np.int64)
+        for size in np.unique(self.size).tolist():
+            i = np.flatnonzero(self.size == size)
             self.at[i] = np.arange(len(i))
-            x = np.stack([counts[j] for j in i]).astype(np.int32)
-            x[x == 255] = 1 << 20
-            self.own[parts], self.half[parts // 2] = x, x.reshape(len(i), -1, 2).sum(axis=2)
-
-    def bound(self, i: int, others: np.ndarray) -> np.ndarray:
-        """The most that set i can share with others, which have as many parts or twice as many."""
-        parts = int(self.parts[i])
-        x, out = self.own[parts][self.at[i]], np.full(len(others), 1 << 40)
-        for table, same in ((self.own, self.parts[others] == parts), (self.half, self.parts[others] == 2 * parts)):
+            self.own[size] = np.stack([words[j] for j in i])
+            if size > 1:
+                self.half[size // 2] = fold(self.own[size], size // 2)
+
+    def differ(self, i: int, others: np.ndarray) -> np.ndarray:
+        """What set i and the others differ by at least; these have as many bits or twice as many."""
+        size = int(self.size[i])
+        x, out = self.own[size][self.at[i]], np.zeros(len(others), dtype=np.int64)
+        for table, same in ((self.own, self.size[others] == size), (self.half, self.size[others] == 2 * size)):
             if same.any():
-                out[same] = np.minimum(table[parts][self.at[others[same]]], x).sum(axis=1)
+                out[same] = np.bitwise_count(table[size][self.at[others[same]]] ^ x).sum(axis=1)
         return out
 
 
@@ -254,7 +275,7 @@ def across(percent: int):
                     end = int(np.searchsorted(m, m[i] * 100 // percent, side="right"))  # length filter
                     js = i + 1 + np.flatnonzero((c[i + 1 : end] != c[i]) & possible(m[i], p[i], m[i + 1 : end], p[i + 1 : end], percent))
                     if len(js):
-                        js = js[(100 + percent) * sketches.bound(i, js) >= percent * (m[i] + m[js])]
+                        js = js[sketches.differ(i, js) <= differ(m[i], m[js], percent)]
                     if len(js):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[js], k[i])), pa.array(np.maximum(k[js], k[i]))], names=["a", "b"])
 
@@ -339,13 +360,17 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     """A row per row of ``docs``: doc_id, text_hash, set, n_shingles, component_id (the smallest doc_id reachable)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = staged(docs.mapInArrow(describe(size), "kind int, a long, b long, c long, d long, sketch binary"), "sets")
-    rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("text_hash"), F.col("c").alias("set"), F.col("d").alias("n_shingles"), "sketch")
+    found = staged(docs.mapInArrow(describe(size), "kind int, a long, b long, c long, more long, d long, sketch binary"), "sets")
+    keyed = found.filter("kind = 0")
+    # different sets with the same 64 bits: a few in 10**11 documents
+    twins = frozenset(r.c for r in keyed.groupBy("c").agg(F.min("more").alias("lo"), F.max("more").alias("hi")).filter("lo != hi").select("c").collect())
+    key = F.when(F.col("c").isin(*twins), F.col("more")).otherwise(F.col("c")) if twins else F.col("c")
+    rows = keyed.select(F.col("a").alias("doc_id"), F.col("b").alias("text_hash"), key.alias("set"), F.col("d").alias("n_shingles"), "sketch")
     hot = found.filter("kind = 1").groupBy("a").agg(F.sum("b").cast("int").alias("b")).select(F.col("a").cast("int").alias("a"), "b").toPandas()  # SLOTS rows at most
     levels = np.zeros(SLOTS, dtype=np.uint8)
     if len(hot):
         levels[hot["a"].to_numpy()] = np.minimum(63, 1 + np.floor(np.log2(hot["b"].to_numpy()))).astype(np.uint8)
-    first = docs.mapInArrow(prefixes(size, percent, levels), "token long, set long, n int, pos int")
+    first = docs.mapInArrow(prefixes(size, percent, levels, twins), "token long, set long, n int, pos int")
     both = staged(first.repartition("token").sortWithinPartitions("token").mapInArrow(candidates(percent), "kind int, a long, b long, n int, pos int"), "candidates")
     nodes = rows.filter("n_shingles > 0").groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = staged(nodes.select("set", "r.*", "n", "sketch"), "nodes")
@@ -404,12 +429,11 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     groups = jaccard_groups(docs, size, percent)
     keep = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("r.doc_id", "r.text_hash", F.lit(True).alias("one"))
     keep = keep.union(groups.filter("n_shingles = 0").select("doc_id", "text_hash", F.lit(False).alias("one")).distinct())
-    from pyspark.sql import Window
-
-    x, k = docs.withColumn("__h", F.xxhash64("text")).alias("x"), keep.alias("k")
-    joined = x.join(k, F.col("x.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("x.__h") == F.col("k.text_hash")))
-    nth = F.row_number().over(Window.partitionBy("x.doc_id", "x.__h").orderBy("x.__h"))
-    return joined.withColumn("__nth", nth).filter(~F.col("k.one") | (F.col("__nth") == 1)).select(*[F.col(f"x.`{c}`") for c in docs.columns])
+    x = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("x")
+    k = keep.alias("k")
+    joined = x.join(k, F.col("x.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("x.h") == F.col("k.text_hash")))
+    nth = F.row_number().over(Window.partitionBy("x.doc_id", "x.h").orderBy("x.h"))
+    return joined.select("row", "one", nth.alias("nth")).filter(~F.col("one") | (F.col("nth") == 1)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,21 @@ Documents come in batches, in the order of doc_id.  The index holds sorted, immu
 historical windows' hashes: of each window of 20 words the anchor, the smallest hash of 8 words in it,
 so neighbouring windows share theirs and a run has a seventh of the rows that all windows would be.  Equal
 windows have equal anchors.  A batch's anchors are merge-joined with the runs; where an anchor has been
-met before, or twice in the batch, the windows around it are verified: full hashes of the 20 words, on both
-sides, and the first of equal windows by doc_id and start stays.  What was verified is kept, so no document's
+met before, or twice in the batch, the windows around it are verified: 128 bits of their 20 words (two independent hashes of every word), on both
+sides, and the first of equal windows by doc_id and start stays.  What was verified is kept, in runs as well, so no document's
 windows are hashed again for an anchor.  The batch is a run of its own, and runs are compacted into one when
-there are more than ``MAX_RUNS``.
+there are more than ``MAX_RUNS``.  A manifest in the index's folder names its runs, so that it can be opened again for a later batch.
 
 Edge cases: null and empty texts have no words; rows with a null doc_id are one document, before all others;
 rows that repeat a doc_id are ordered by a hash of their text, and rows equal in both are one document reported
-as often as it occurs; texts shorter than a window lose nothing; an empty table gives no rows;
+as often as it occurs; texts shorter than a window lose nothing, very long ones are whole; of equal windows the first by doc_id and start stays; an empty table gives no rows;
 extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -27,22 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, shared_root, staged
+from .common import bitmap, cleaned, dropped, file_system, in_bitmap, shared_root, staged
 from .words import Hashed, slices
 
 WINDOW = 20
 ANCHOR = 8
-BATCHES = 3
-MAX_RUNS = 4
+BATCHES = 4
+MAX_RUNS = 2
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 find = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
-def fingerprints(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: hash of each window, place of its anchor, hash of each anchor's words."""
-    words = Hashed(column, lower=False)
-    full, short, starts = words.rolled(WINDOW), words.rolled(ANCHOR), words.starts.tolist()
+def fingerprints(column: pa.Array, whole: bool = False) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """For each text: with ``whole`` two hashes of each window; place of its anchor, hash of each anchor's words."""
+    words = Hashed(column, lower=False, wide=whole)
+    full = [words.rolled(WINDOW, which) for which in (0, 1)[: 2 * whole]]
+    short, starts = words.rolled(ANCHOR), words.starts.tolist()
     for lo, hi in zip(starts, starts[1:]):
         n = max(0, hi - lo - WINDOW + 1)
         own = short[lo : hi - ANCHOR + 1] if n else short[:0]
@@ -52,7 +54,7 @@ def fingerprints(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             a, b = least[: len(least) - reach], least[reach:]
             least, reach = np.where(own[b] < own[a], b, a), reach * 2
         a, b = least[:n], least[span - reach : span - reach + n]
-        yield full[lo : lo + n], np.where(own[b] < own[a], b, a), own
+        yield tuple(x[lo : lo + n] for x in full), np.where(own[b] < own[a], b, a), own
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,55 +65,93 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc_id, h, (_, place, short) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), fingerprints(part.column(2))):
                 if len(place):
                     found, n = np.unique(short[place[np.append(True, place[1:] != place[:-1])]].view(np.int64), return_counts=True)
-                    for col, x in zip(cols, (found, np.full(len(found), doc_id), np.full(len(found), h, dtype=np.int32), n.astype(np.int32))):
+                    for col, x in zip(cols, (found, np.full(len(found), doc_id), np.full(len(found), h, dtype=np.int64), n.astype(np.int32))):
                         col.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "doc_id", "h", "n"])
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, h, met (anchors), text -> window, doc_id, h, start of the windows at these anchors."""
+    """doc_id, h, met (anchors), text -> window, more, doc_id, h, start of the windows at these anchors."""
     for batch in batches:
         for part in slices(batch, 3):
-            cols, met = [[], [], [], []], part.column(2)
-            for i, (doc_id, h, (full, place, short)) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), fingerprints(part.column(3)))):
+            cols, met = [[], [], [], [], []], part.column(2)
+            for i, (doc_id, h, (full, place, short)) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), fingerprints(part.column(3), True))):
                 known = np.sort(met[i].values.to_numpy(zero_copy_only=False).astype(np.int64))
                 own = short[place].view(np.int64)
                 j = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 start = np.flatnonzero(known[j] == own)
-                for col, x in zip(cols, (full[start].view(np.int64), np.full(len(start), doc_id), np.full(len(start), h, dtype=np.int32), start.astype(np.int32))):
+                for col, x in zip(cols, (*(f[start].view(np.int64) for f in full), np.full(len(start), doc_id), np.full(len(start), h, dtype=np.int64), start.astype(np.int32))):
                     col.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["window", "doc_id", "h", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=[*KEY, "doc_id", "h", "start"])
+
+
+KEY = ["window", "more"]
+KINDS = {"runs": "anchor long, doc_id long, h long, n int", "hot": "anchor long", "known": "window long, more long"}
 
 
 class FingerprintIndex:
-    """Sorted runs of anchors with the documents that have them, bucketed alike, so that runs are joined without a shuffle.
+    """Sorted runs, bucketed alike by their first column, so that runs are joined without a shuffle.  Of three kinds:
 
-    ``hot``: anchors that were met again, whose windows have all been verified; ``known``: these windows."""
+    ``runs``: anchors with the documents that have them; ``hot``: anchors that were met again, whose windows have all been
+    verified; ``known``: these windows.  With a folder that has an index in it, that is opened."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.runs, self.hot, self.known = spark, shared_root(spark), [], [], []
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or shared_root(spark)
+        self.names: dict[str, list[str]] = {k: [] for k in KINDS}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def write(self, rows: DataFrame) -> DataFrame:
-        """A run of (anchor, doc_id, h, n); never changed once written."""
-        name = f"run_{uuid.uuid4().hex[:16]}"
-        rows = rows.select("anchor", "doc_id", "h", "n").repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
-        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.root}/{name}").saveAsTable(name)
+        path, files = file_system(spark, f"{self.root}/manifest.json")
+        if files.exists(path):
+            found = json.loads(spark.read.text(f"{self.root}/manifest.json", wholetext=True).first()[0])
+            self.names, self.buckets = found["names"], found["buckets"]
+
+    def table(self, kind: str, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):
+            key = KINDS[kind].split()[0]
+            self.spark.sql(f"CREATE TABLE {name} ({KINDS[kind]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
         return self.spark.table(name)
 
-    def add(self, run: DataFrame) -> None:
-        self.runs.append(run)
-        if len(self.runs) > MAX_RUNS:
-            self.runs = [self.write(union(self.runs))]
+    def all(self, kind: str) -> DataFrame | None:
+        return union([self.table(kind, n) for n in self.names[kind]]) if self.names[kind] else None
+
+    def write(self, kind: str, rows: DataFrame) -> str:
+        """A run; never changed once written."""
+        name, columns = f"run_{uuid.uuid4().hex[:16]}", [x.split()[0] for x in KINDS[kind].split(", ")]
+        rows = rows.select(*columns).repartition(self.buckets, columns[0]).sortWithinPartitions(columns[0])
+        with cleaned(self.spark):
+            rows.write.bucketBy(self.buckets, columns[0]).sortBy(columns[0]).option("path", f"{self.root}/{name}").saveAsTable(name)
+        return name
+
+    def add(self, **new: str) -> None:
+        """Take in runs by kind; more than MAX_RUNS of a kind are compacted.  The manifest is replaced last."""
+        gone = []
+        for kind, name in new.items():
+            self.names[kind].append(name)
+            if len(self.names[kind]) > MAX_RUNS:
+                old, self.names[kind] = self.names[kind], [self.write(kind, self.all(kind))]
+                gone += old
+        path, files = file_system(self.spark, f"{self.root}/manifest.json")
+        out = files.create(path, True)
+        out.write(bytearray(json.dumps({"names": self.names, "buckets": self.buckets}).encode()))
+        out.close()
+        for name in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            path, files = file_system(self.spark, f"{self.root}/{name}")
+            files.delete(path, True)
 
     def meet(self, own: DataFrame) -> DataFrame | None:
         """(anchor, doc_id, h) of the history that the batch's anchors meet for the first time."""
-        if not self.runs:
+        if not self.names["runs"]:
             return None
-        found = union([run.join(own.select("anchor"), "anchor", "left_semi").select("anchor", "doc_id", "h") for run in self.runs])
-        return found.join(union(self.hot), "anchor", "left_anti") if self.hot else found
+        found = union([self.table("runs", n).join(own.select("anchor"), "anchor", "left_semi").select("anchor", "doc_id", "h") for n in self.names["runs"]])
+        hot = self.all("hot")
+        return found if hot is None else found.join(hot, "anchor", "left_anti")
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalogue; their files stay."""
+        for name in (n for names in self.names.values() for n in names):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -122,32 +162,32 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, index: FingerprintIndex, batch: DataFrame, where) -> DataFrame:
-    """doc_id, h, start of the batch's windows that start earlier too; the batch is in the index afterwards.
+    """doc_id, h, starts of the batch's windows that start earlier too; the batch is in the index afterwards.
 
     ``docs``: all documents so far (doc_id, h, text); ``where``: Column true for the batch's rows."""
-    own = index.write(batch.mapInArrow(anchors, "anchor long, doc_id long, h int, n int"))
-    past = index.meet(own)
+    name = index.write("runs", batch.mapInArrow(anchors, KINDS["runs"]))
+    own, past, hot, known = index.table("runs", name), index.meet(index.table("runs", name)), index.all("hot"), index.all("known")
     twice = own.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     if past is not None:
         past = staged(past, "past")
         twice = twice.union(past.select("anchor"))
-        if index.hot:
-            twice = twice.union(union(index.hot))
+        if hot is not None:
+            twice = twice.union(hot)
     twice = staged(own.join(twice.distinct(), "anchor", "left_semi").select("anchor", "doc_id", "h"), "met")
     met = twice if past is None else twice.union(past)
     met = staged(met.groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("met")), "met")
     # documents that have none of these anchors stay where they are read
     some = docs.filter(in_bitmap(bitmap(met, ["doc_id", "h"]), ["doc_id", "h"]))
     around = met.join(some, ["doc_id", "h"]).select("doc_id", "h", "met", "text")
-    found = staged(around.mapInArrow(windows, "window long, doc_id long, h int, start int"), "windows")
-    first = found.groupBy("window").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first")
-    later = found.join(first, "window").filter(where & (F.struct("doc_id", "h", "start") != F.col("first"))).select("doc_id", "h", "start")
-    if index.known:
-        later = later.union(found.filter(where).join(union(index.known), "window", "left_semi").select("doc_id", "h", "start"))
+    found = staged(around.mapInArrow(windows, "window long, more long, doc_id long, h long, start int"), "windows")
+    first = found.groupBy(*KEY).agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*KEY, "first")
+    later = found.join(first, KEY).filter(where & (F.struct("doc_id", "h", "start") != F.col("first"))).select("doc_id", "h", "start")
+    if known is not None:
+        later = later.union(found.filter(where).join(known, KEY, "left_semi").select("doc_id", "h", "start"))
     out = staged(later.groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts")), "later")
-    index.add(own)
-    index.hot.append(staged(twice.select("anchor").distinct(), "hot"))
-    index.known.append(staged(found.select("window").distinct(), "known"))
+    new = found.select(*KEY).distinct()
+    index.add(runs=name, hot=index.write("hot", twice.select("anchor").distinct()), known=index.write("known", new))
+    dropped(twice, met, found, *([] if past is None else [past]))
     return out
 
 
@@ -165,6 +205,7 @@ def repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         if i < len(cuts):
             where, so_far = where & (doc_id <= cuts[i]), doc_id <= cuts[i]
         found.append(repeated_windows(docs.filter(so_far), index, docs.filter(where), where))
+    index.close()
     return union(found)
 
 
@@ -198,7 +239,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
     # where no doc_id occurs twice, it is enough to name a document
     twice = not docs.groupBy(doc_id).count().filter("count > 1").isEmpty()
-    keyed = docs.select(doc_id, (F.hash("text") if twice else F.lit(0)).alias("h"), "text")
+    keyed = docs.select(doc_id, (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("h"), "text")
     found = repeats(keyed, batches)
     found = staged(found, "starts")
     some = in_bitmap(bitmap(found, ["doc_id", "h"]), ["doc_id", "h"])

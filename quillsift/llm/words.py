@@ -1,13 +1,16 @@
-"""Words of whole Arrow columns as 64-bit hashes, without a Python object for each word."""
+"""Words of whole Arrow columns as 64-bit hashes, or as two of them, without a Python object for each word."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Seeds and odd multipliers of two independent hashes; any others do.
+SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], dtype=np.uint64)
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+#: Longer words, in bytes, are hashed one by one.
+LONG = 512
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,17 +23,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for i, b in enumerate((BASE, INVERSE)):
-            steps = np.full(size, b, dtype=np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers
-
-
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, and where each row starts and the last ends; null rows are empty."""
     if column.type != pa.large_string():
@@ -44,11 +36,36 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the last."""
+    x = np.zeros(len(data) + 8, dtype=np.uint64)
+    x[: len(data)] = data
+    for n in (1, 2, 4):
+        x[:-n] |= x[n:] << np.uint64(8 * n)  # the right side is made before
+    return x
+
+
+def hashed(data: np.ndarray, chunks: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """64 bits for each of the words from ``begin`` to ``end``: eight bytes at a time are mixed in."""
+    size = end - begin
+    h = mix64(size.astype(np.uint64) * ODD[which] ^ SEEDS[which])
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+    at = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(at):
+        left = size[at] - done
+        h[at] = mix64(h[at] ^ (chunks[begin[at] + done] & masks[np.minimum(left, 8)])) * ODD[which]
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes(), seed=int(SEEDS[which]))
+    return mix64(h)
+
+
 class Hashed:
     """hashes: of all words in order; starts: index of each row's first word, and their number at the end;
-    lines: for each word, how many newlines stand before it in all rows together."""
+    more: independent hashes of the same words, with ``wide``."""
 
-    def __init__(self, column: pa.Array, lower: bool = True, with_lines: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = True, wide: bool = False):
         data, rows = column_bytes(column)
         if lower:
             data = LOWER[data]
@@ -62,32 +79,32 @@ class Hashed:
         begin = np.flatnonzero(first)
         last = np.append(~inside[1:] | edge[1:], True) & inside
         end = np.flatnonzero(last) + 1
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        self.hashes = mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        chunks = eights(data)
+        self.hashes = hashed(data, chunks, begin, end, 0)
+        self.more = hashed(data, chunks, begin, end, 1) if wide else None
         self.starts = np.searchsorted(begin, rows, side="left")
-        if with_lines:
-            breaks = np.cumsum(data == 10)
-            self.lines = breaks[begin] if n else np.zeros(0, dtype=np.int64)
-            self.row_breaks = np.append(0, breaks)[rows[:-1]] if n else np.zeros(len(rows) - 1, dtype=np.int64)
 
-    def rolled(self, size: int) -> np.ndarray:
+    def rolled(self, size: int, which: int = 0) -> np.ndarray:
         """Hash of ``size`` words from each word on, across rows; the last ones are missing."""
-        n = max(0, len(self.hashes) - size + 1)
-        x = np.full(n, np.uint64(size))
-        for i in range(size):
-            x = x * np.uint64(0x9E3779B97F4A7C15) + self.hashes[i : i + n]
-        return mix64(x)
-
-
-def roll(hashes: np.ndarray) -> np.uint64:
-    """The same of one whole sequence."""
-    x = np.uint64(len(hashes))
-    with np.errstate(over="ignore"):
-        for h in hashes:
-            x = x * np.uint64(0x9E3779B97F4A7C15) + h
-    return mix64(np.array([x]))[0]
+        return roll(self.more if which else self.hashes, size, which)
+
+
+def roll(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """Hashes of each ``size`` words in turn: a polynomial, by doubling."""
+    n, odd = len(hashes), int(ODD[which])
+    out, length = None, 0
+    part, reach = hashes, 1  # of reach words
+    while reach <= size:
+        if size & reach:
+            if out is None:
+                out, length = part, reach
+            else:  # words of out come first
+                m = n - length - reach + 1
+                out = out[: max(0, m)] * np.uint64(pow(odd, reach, 1 << 64)) + part[length : length + max(0, m)]
+                length += reach
+        m = max(0, n - 2 * reach + 1)
+        part, reach = part[:m] * np.uint64(pow(odd, reach, 1 << 64)) + part[reach : reach + m], 2 * reach
+    return mix64(out[: max(0, n - size + 1)] ^ np.uint64(size * int(SEEDS[which]) % (1 << 64)))
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):

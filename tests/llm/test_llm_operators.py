@@ -64,7 +64,7 @@ def bag(df, *columns):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbé \n\t\x00", max_size=20)), max_size=6))
 def test_hashed_words(texts):
-    h = words.Hashed(pa.array(texts, pa.string()), with_lines=True)
+    h = words.Hashed(pa.array(texts, pa.string()), wide=True)
     seen = {}
     for i, t in enumerate(texts):
         own = WORD.findall((t or "").translate(LOWER))
@@ -273,9 +273,46 @@ def test_trie_walk(sets, root):
 @settings(max_examples=50, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 def test_sketch_is_a_bound(a, b):
-    x, y = (np.frombuffer(ngram_join.sketch(np.array(sorted(s), dtype=np.uint64)), dtype=np.uint8) for s in (a, b))
-    parts = min(len(x), len(y))
-    assert np.minimum(ngram_join.fold(x, parts), ngram_join.fold(y, parts)).sum() >= len(a & b)
+    x, y = (np.frombuffer(ngram_join.sketch(np.array(sorted(s), dtype=np.uint64)), dtype=np.uint64) for s in (a, b))
+    size = min(len(x), len(y))
+    assert np.bitwise_count(ngram_join.fold(x, size) ^ ngram_join.fold(y, size)).sum() <= len(a ^ b)
+
+
+def twin_words():
+    """Two words that any polynomial hash modulo 2**64 takes for the same: the Thue-Morse sequence and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_only_look_alike(spark):
+    x, y = twin_words()
+    tail = " ".join(f"t{i}" for i in range(19))
+    d = spark.createDataFrame([(1, x), (2, y), (3, f"{x} {tail}"), (4, f"{y} {tail}"), (5, f"{x[:300]} {tail}"), (6, f"{y[:300]} {tail}")], "doc_id long, text string")
+    assert bag(ngram_join.jaccard_groups(d.filter("doc_id < 3")), "doc_id", "component_id") == Counter([(1, 1), (2, 2)])
+    assert not any(r.n_removed for r in substring_dedup.remove_repeats(d).collect())
+    assert {r.text for r in line_dedup.dedup_lines(d.filter("doc_id < 3"), min_words=1).collect()} == {x, y}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=20), min_size=1, max_size=30), st.integers(1, 21))
+def test_rolled(ws, size):
+    h = words.Hashed(pa.array([" ".join(ws)]), wide=True)
+    for which in (0, 1):
+        got = h.rolled(size, which)
+        assert len(got) == max(0, len(ws) - size + 1)
+        same = {}
+        for i, x in enumerate(got.tolist()):
+            assert same.setdefault(tuple(ws[i : i + size]), x) == x
+        assert len(set(same.values())) == len(same)
+        if len(ws) >= size:
+            assert words.roll((h.more if which else h.hashes)[:size], size, which)[0] == got[0]
+
+
+def test_sets_with_the_same_key(docs, rows, monkeypatch):
+    """The other 64 bits tell sets apart that share the first ones."""
+    keys = ngram_join.set_keys
+    monkeypatch.setattr(ngram_join, "set_keys", lambda t: (keys(t)[0] % 3, keys(t)[1]) if len(t) else (0, 0))
+    assert len({ngram_join.set_key(np.array([i], dtype=np.uint64), frozenset(range(3))) for i in range(50)}) == 50
 
 
 # ---------------------------------------------------------------- 5: substrings
@@ -307,8 +344,30 @@ def test_substrings(docs, none, rows, batches):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_index_opens_again(spark, real):
+    """A later batch meets the runs that an index left behind, compacted or not."""
+    expect = {x[0]: x[2] for x in brute_repeats(sorted((r.doc_id, r.text) for r in real.collect()))}
+    docs = real.select("doc_id", F.lit(0).cast("long").alias("h"), "text")
+    cuts = [-1, *(int(c) for c in docs.approxQuantile("doc_id", [0.2, 0.4, 0.6, 0.8], 0)), 10**9]
+    root, gone = substring_dedup.shared_root(spark), set()
+    for lo, hi in zip(cuts, cuts[1:]):
+        index = substring_dedup.FingerprintIndex(spark, root)
+        where = (F.col("doc_id") > lo) & (F.col("doc_id") <= hi)
+        out = substring_dedup.repeated_windows(docs.filter(F.col("doc_id") <= hi), index, docs.filter(where), where)
+        gone |= {r.doc_id for r in out.collect()}
+        index.close()
+        assert all(len(names) <= substring_dedup.MAX_RUNS for names in index.names.values())
+    assert gone == {i for i, n in expect.items() if n}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
 def test_index_compacts(spark, real, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 2)
+    compacted = []
+    write = substring_dedup.FingerprintIndex.write
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "write", lambda self, kind, rows: compacted.append((kind, len(self.names[kind]))) or write(self, kind, rows))
+    substring_dedup.remove_repeats(real).count()
+    assert ("runs", 3) in compacted
+    monkeypatch.undo()
     expect = {x[0]: x[1:] for x in brute_repeats(sorted((r.doc_id, r.text) for r in real.collect()))}
     got = substring_dedup.remove_repeats(real, 5, with_text=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == expect
