@@ -6,7 +6,7 @@ so neighbouring windows share theirs and a run has a seventh of the rows that al
 windows have equal anchors.  A batch's anchors are merge-joined with the runs; where an anchor has been
 met before, or twice in the batch, the windows around it are verified: 128 bits of their 20 words (two independent hashes of every word), on both
 sides, and the first of equal windows by doc_id and start stays.  What was verified is kept, in runs as well, so no document's
-windows are hashed again for an anchor.  The batch is a run of its own, and runs are compacted into one when
+windows are hashed again for an anchor.  The batch is a run of its own, and before the next batch runs are compacted into one if
 there are more than ``MAX_RUNS``.  A manifest in the index's folder names its runs, so that it can be opened again for a later batch.
 
 Edge cases: null and empty texts have no words; rows with a null doc_id are one document, before all others;
@@ -72,30 +72,35 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, h, met (anchors), text -> window, more, doc_id, h, start of the windows at these anchors."""
+    """doc_id, h, met (anchors), text -> window, more, doc_id, h, start of the windows at these anchors, and whether
+    it starts earlier in the document (again)."""
     for batch in batches:
         for part in slices(batch, 3):
-            cols, met = [[], [], [], [], []], part.column(2)
+            cols, met = [[], [], [], [], [], []], part.column(2)
             for i, (doc_id, h, (full, place, short)) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), fingerprints(part.column(3), True))):
                 known = np.sort(met[i].values.to_numpy(zero_copy_only=False).astype(np.int64))
                 own = short[place].view(np.int64)
                 j = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 start = np.flatnonzero(known[j] == own)
-                for col, x in zip(cols, (*(f[start].view(np.int64) for f in full), np.full(len(start), doc_id), np.full(len(start), h, dtype=np.int64), start.astype(np.int32))):
+                u, v = (f[start].view(np.int64) for f in full)
+                order = np.lexsort((v, u))  # stable: the first start of equal windows comes first
+                again = np.zeros(len(start), dtype=bool)
+                again[order[1:]] = (u[order[1:]] == u[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
+                for col, x in zip(cols, (u, v, np.full(len(start), doc_id), np.full(len(start), h, dtype=np.int64), start.astype(np.int32), again)):
                     col.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=[*KEY, "doc_id", "h", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=[*KEY, "doc_id", "h", "start", "again"])
 
 
 KEY = ["window", "more"]
-KINDS = {"runs": "anchor long, doc_id long, h long, n int", "hot": "anchor long", "known": "window long, more long"}
+KINDS = {"runs": "anchor long, doc_id long, h long, n int", "hot": "anchor long", "known": "window long, more long, doc_id long, h long, n long"}
 
 
 class FingerprintIndex:
     """Sorted runs, bucketed alike by their first column, so that runs are joined without a shuffle.  Of three kinds:
 
     ``runs``: anchors with the documents that have them; ``hot``: anchors that were met again, whose windows have all been
-    verified; ``known``: these windows.  With a folder that has an index in it, that is opened."""
+    verified; ``known``: these windows, with the first document and their number in the batch that met them.  With a folder that has an index in it, that is opened."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, root or shared_root(spark)
@@ -124,22 +129,31 @@ class FingerprintIndex:
         return name
 
     def add(self, **new: str) -> None:
-        """Take in runs by kind; more than MAX_RUNS of a kind are compacted.  The manifest is replaced last."""
-        gone = []
+        """Take in runs by kind.  The manifest is replaced whole."""
         for kind, name in new.items():
             self.names[kind].append(name)
-            if len(self.names[kind]) > MAX_RUNS:
-                old, self.names[kind] = self.names[kind], [self.write(kind, self.all(kind))]
-                gone += old
-        path, files = file_system(self.spark, f"{self.root}/manifest.json")
-        out = files.create(path, True)
-        out.write(bytearray(json.dumps({"names": self.names, "buckets": self.buckets}).encode()))
-        out.close()
+        self.note()
+
+    def compact(self) -> None:
+        """More than MAX_RUNS runs of a kind become one.  The manifest is replaced before the old ones go."""
+        gone = []
+        for kind, names in self.names.items():
+            if len(names) > MAX_RUNS:
+                self.names[kind] = [self.write(kind, self.all(kind))]
+                gone += names
+        if gone:
+            self.note()
         for name in gone:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             path, files = file_system(self.spark, f"{self.root}/{name}")
             files.delete(path, True)
 
+    def note(self) -> None:
+        path, files = file_system(self.spark, f"{self.root}/manifest.json")
+        out = files.create(path, True)
+        out.write(bytearray(json.dumps({"names": self.names, "buckets": self.buckets}).encode()))
+        out.close()
+
     def meet(self, own: DataFrame) -> DataFrame | None:
         """(anchor, doc_id, h) of the history that the batch's anchors meet for the first time."""
         if not self.names["runs"]:
@@ -161,37 +175,42 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def repeated_windows(docs: DataFrame, index: FingerprintIndex, batch: DataFrame, where) -> DataFrame:
+def repeated_windows(docs: DataFrame, index: FingerprintIndex, batch: DataFrame, where, twice: bool = True) -> DataFrame:
     """doc_id, h, starts of the batch's windows that start earlier too; the batch is in the index afterwards.
 
-    ``docs``: all documents so far (doc_id, h, text); ``where``: Column true for the batch's rows."""
+    ``docs``: all documents so far (doc_id, h, text); ``where``: Column true for the batch's rows; ``twice``: a doc_id may have several h."""
+    index.compact()
     name = index.write("runs", batch.mapInArrow(anchors, KINDS["runs"]))
     own, past, hot, known = index.table("runs", name), index.meet(index.table("runs", name)), index.all("hot"), index.all("known")
-    twice = own.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    some = own.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     if past is not None:
         past = staged(past, "past")
-        twice = twice.union(past.select("anchor"))
+        some = some.union(past.select("anchor"))
         if hot is not None:
-            twice = twice.union(hot)
-    twice = staged(own.join(twice.distinct(), "anchor", "left_semi").select("anchor", "doc_id", "h"), "met")
-    met = twice if past is None else twice.union(past)
+            some = some.union(hot)
+    own = staged(own.join(some.distinct(), "anchor", "left_semi").select("anchor", "doc_id", "h"), "met")
+    met = own if past is None else own.union(past)
     met = staged(met.groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("met")), "met")
     # documents that have none of these anchors stay where they are read
     some = docs.filter(in_bitmap(bitmap(met, ["doc_id", "h"]), ["doc_id", "h"]))
     around = met.join(some, ["doc_id", "h"]).select("doc_id", "h", "met", "text")
-    found = staged(around.mapInArrow(windows, "window long, more long, doc_id long, h long, start int"), "windows")
-    first = found.groupBy(*KEY).agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*KEY, "first")
-    later = found.join(first, KEY).filter(where & (F.struct("doc_id", "h", "start") != F.col("first"))).select("doc_id", "h", "start")
+    found = staged(around.mapInArrow(windows, "window long, more long, doc_id long, h long, start int, again boolean"), "windows")
+    first = [F.min(F.struct("doc_id", "h")).alias("r")] if twice else [F.struct(F.min("doc_id").alias("doc_id"), F.first("h").alias("h")).alias("r")]
+    new = index.write("known", found.filter("NOT again").groupBy(*KEY).agg(*first, F.count(F.lit(1)).alias("n")).select(*KEY, "r.*", "n"))
+    first = index.table("known", new).filter("n > 1").select(*KEY, F.col("doc_id").alias("first"), F.col("h").alias("first_h"))
+    own_rows = found.filter(where)
+    later = own_rows.filter("NOT again").join(first, KEY).filter("doc_id != first OR h != first_h").select("doc_id", "h", "start")
+    # what is repeated within a document is known without the others
+    later = later.union(own_rows.filter("again").select("doc_id", "h", "start"))
     if known is not None:
-        later = later.union(found.filter(where).join(known, KEY, "left_semi").select("doc_id", "h", "start"))
+        later = later.union(own_rows.filter("NOT again").join(known.select(*KEY), KEY, "left_semi").select("doc_id", "h", "start"))
     out = staged(later.groupBy("doc_id", "h").agg(F.collect_set("start").alias("starts")), "later")
-    new = found.select(*KEY).distinct()
-    index.add(runs=name, hot=index.write("hot", twice.select("anchor").distinct()), known=index.write("known", new))
-    dropped(twice, met, found, *([] if past is None else [past]))
+    index.add(runs=name, hot=index.write("hot", own.select("anchor").distinct()), known=new)
+    dropped(own, met, found, *([] if past is None else [past]))
     return out
 
 
-def repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeats(docs: DataFrame, batches: int = BATCHES, twice: bool = True) -> DataFrame:
     """doc_id, h, starts (of the windows to remove) for the documents (doc_id, h, text) that repeat something."""
     cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
@@ -204,7 +223,7 @@ def repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         so_far = F.lit(True)
         if i < len(cuts):
             where, so_far = where & (doc_id <= cuts[i]), doc_id <= cuts[i]
-        found.append(repeated_windows(docs.filter(so_far), index, docs.filter(where), where))
+        found.append(repeated_windows(docs.filter(so_far), index, docs.filter(where), where, twice))
     index.close()
     return union(found)
 
@@ -240,7 +259,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
     # where no doc_id occurs twice, it is enough to name a document
     twice = not docs.groupBy(doc_id).count().filter("count > 1").isEmpty()
     keyed = docs.select(doc_id, (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("h"), "text")
-    found = repeats(keyed, batches)
+    found = repeats(keyed, batches, twice)
     found = staged(found, "starts")
     some = in_bitmap(bitmap(found, ["doc_id", "h"]), ["doc_id", "h"])
     rows = keyed.filter(some).join(found, ["doc_id", "h"], "left").select("doc_id", "starts", "text")
