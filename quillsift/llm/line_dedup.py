@@ -6,7 +6,7 @@ a line that is removed itself still removes later ones.  Lines of fewer than ``m
 stay and remove nothing; the query and the pipeline take 1, so that only blank lines do.
 
 Lines of the same text are one class: the first stays to stand for it, the others go.  Words are ordered by rarity
-(counts over all lines in 2**17 slots, ties by hash), and two similar lines share one of their first
+(counts over all lines in 2**16 slots, ties by hash), and two similar lines share one of their first
 ``n - ceil(0.8 n) + 1`` words, on which the first lines are joined with filters by length, by position and by a 64-bit sketch,
 whose differing bits are a lower bound for the differing words.  A semi-join finds the rows that pass
 with any other, at most one for each row, however many lines a word has.  Their lines are fetched and verified on the words: first against
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, dropped, staged
 
-SLOTS = 1 << 17
+SLOTS = 1 << 16
 #: Lines of so many words have a sketch of 128 bits.
 LONG = 64
 NO_ID = -(1 << 63)
@@ -64,12 +64,12 @@ def words_of(line: str) -> Column:
 
 
 def levels(docs: DataFrame) -> Column:
-    """An array literal: twice the logarithm of how many words fall on each slot of their hashes, in the seven bits above 56."""
+    """An array literal: twice the logarithm of how many words fall on each slot of their hashes."""
     lines = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
     slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
     counts = lines.select(F.explode(F.split("line", " ")).alias("word")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    found = {r.slot: min(126, (r.n * r.n).bit_length()) << 56 for r in counts.collect()}  # SLOTS rows at most
-    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(SLOTS))), ",").cast("array<bigint>")
+    found = {r.slot: min(126, (r.n * r.n).bit_length()) for r in counts.collect()}  # SLOTS rows at most
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(SLOTS))), ",").cast("array<int>")
 
 
 def first_lines(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
@@ -81,7 +81,7 @@ def first_lines(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
     lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "txt"))
     lines = lines.select(*AT, F.xxhash64("txt").alias("k1"), F.xxhash64(F.lit(1), "txt").alias("k2"), lowered(spaced(F.col("txt"))).alias("txt"))
     words = F.array_remove(F.array_distinct(F.transform(F.split("txt", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    code = lambda w: F.get(rank, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
+    code = lambda w: F.shiftleft(F.get(rank, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long"), 56).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
     lines = lines.select(*AT, "k1", "k2", F.sort_array(F.transform(words, code)).alias("codes"))
     place = lambda w: F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int")
     s = F.aggregate("codes", zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", one, place(w))))

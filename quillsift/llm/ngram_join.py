@@ -255,8 +255,9 @@ class Sketches:
         return out
 
 
-def across(percent: int):
-    """Rows by token, with the component and the sketch of each set -> pairs across components that nothing rules out.
+def across(percent: int, nearest: bool):
+    """Rows by token, with the component and the sketch of each set -> pairs across components that nothing rules out;
+    with ``nearest`` one for each row, that whose sketches differ the least.
 
     A token whose sets are one component has nothing to add."""
 
@@ -275,8 +276,11 @@ def across(percent: int):
                     end = int(np.searchsorted(m, m[i] * 100 // percent, side="right"))  # length filter
                     js = i + 1 + np.flatnonzero((c[i + 1 : end] != c[i]) & possible(m[i], p[i], m[i + 1 : end], p[i + 1 : end], percent))
                     if len(js):
-                        js = js[sketches.differ(i, js) <= differ(m[i], m[js], percent)]
+                        least = sketches.differ(i, js)
+                        fits = least <= differ(m[i], m[js], percent)
+                        js, least = js[fits], least[fits]
                     if len(js):
+                        js = js[[int(np.argmin(least))]] if nearest else js
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[js], k[i])), pa.array(np.maximum(k[js], k[i]))], names=["a", "b"])
 
     return run
@@ -387,15 +391,19 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
         links = staged(links.union(check(docs, nodes, rest, size, percent, levels)), "links")
         comps = components(links)
     large = both.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("set"), "n", "pos")
-    if not large.isEmpty():
+    done, drawn = pairs.select("a", "b"), nodes.select("set", "sketch")
+    # as trees grow: the nearest set of another component first, which joins most components of a group; then all that are left
+    for nearest in (True, True, False):
+        if large.isEmpty():
+            break
         with_comp = staged(large.join(comps.withColumnRenamed("node", "set"), "set", "left").select("token", "set", "n", "pos", comp), "large")
         mixed = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-        drawn = nodes.select("set", "sketch")
-        more = with_comp.join(mixed, "token").join(drawn, "set").select("token", "set", "n", "pos", "comp", "sketch").repartition("token").sortWithinPartitions("token").mapInArrow(across(percent), "a long, b long")
-        more = staged(more.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = with_comp.join(mixed, "token").join(drawn, "set").select("token", "set", "n", "pos", "comp", "sketch").repartition("token").sortWithinPartitions("token").mapInArrow(across(percent, nearest), "a long, b long")
+        more = staged(more.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = links.union(check(docs, nodes, more, size, percent, levels))
+            links = staged(links.union(check(docs, nodes, more, size, percent, levels)), "links")
             comps = components(links)
+            done = done.union(more)
     of = nodes.select("set", "doc_id").join(comps.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", comp)
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = of.join(least, "comp").select("set", "component_id")

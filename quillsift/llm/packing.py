@@ -195,6 +195,15 @@ def intervals(bins: list[tuple[int, tuple[int, ...]]], first_bin: int = 0):
 # ---------------------------------------------------------------- tokens
 
 
+def places(found: list) -> list[int]:
+    """Where None stands."""
+    out, at, left = [], -1, found.count(None)
+    for _ in range(left):
+        at = found.index(None, at + 1)
+        out.append(at)
+    return out
+
+
 class Tokens:
     """Token ids of a text as little-endian bytes.
 
@@ -248,6 +257,8 @@ class Tokens:
                 self.cache[w] = ids
             elif w.isascii() and w.isalpha():
                 whole.append(w)
+            elif w[-1] in ".,;:!?" and w.isascii() and w[:-1].isalpha():
+                plain[w] = (w[:-1].lower(), w[-1])
             elif self.plain(w):
                 plain[w] = self.split(w.lower())
             else:
@@ -275,7 +286,7 @@ class Tokens:
         words = [self.words(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         get = self.cache.get
         found = [list(map(get, ws)) for ws in words]
-        gaps = [[j for j, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        gaps = [places(f) for f in found]
         new = {ws[j] for ws, js in zip(words, gaps) for j in js}
         if new:
             get = self.learn(new).__getitem__
