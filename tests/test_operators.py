@@ -303,3 +303,28 @@ def test_history_gap(spark):
     c = spark.createDataFrame([("a", 9), ("b", 3)], "account_email string, history_id long")
     m = spark.createDataFrame([("a", 5), ("c", 1)], "account_email string, history_id long")
     assert {r.account_email: r.gap for r in status.history_gap(c, m).collect()} == {"a": 4, "b": 0, "c": 0}
+
+
+def test_accounts_and_addresses_by_form():
+    from quillsift.operators import validators
+
+    assert validators.remap("CUSTOM", "A123456") == "CUSTOM"
+    assert validators.remap("CUSTOM", "AB12345678") == "ACCOUNT"
+    text = "Sent to 12 Main Street, Springfield"
+    assert validators.expand_address("12 Main Street, Springfield", text) == ["12 Main Street, Springfield"]
+    assert validators.expand_address("12 Main Street, Shelbyville", text) == ["12 Main Street", "12", "Main Street"]
+    assert validators.expand_address("", text) == []
+
+
+@pytest.mark.parametrize(
+    "value, ok",
+    [("@jane_d", True), ("@ab", False), ("jdoe99", True), ("ab12", False), ("Ab12", True), ("foo.bar", True), ("Foo-Bar", False), ("fooBar", True), ("foobar", False), ("user12", False), ("two words1", False)],
+)
+def test_handles(value, ok):
+    assert redaction.allowed("CUSTOM", value) is ok
+
+
+def test_model_reply(spark):
+    reply = 'Sure:\n```json\n{"redactions": [{"key_name": "person", "values": ["Jane Roe", " "]}, {"key_name": "EMAIL", "values": "a@b.co"}]}\n```'
+    got = one(spark, redaction.model_pairs(F.lit(reply)))
+    assert [(x.key_name, x.value) for x in got] == [("PERSON", "Jane Roe"), ("EMAIL", "a@b.co")]
