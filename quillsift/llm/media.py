@@ -165,46 +165,49 @@ def write_shards(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def places(index: DataFrame) -> DataFrame:
     """Each image once, a shard's images together and in order; a shard's stretches may go to several tasks."""
-    images = index.groupBy("digest").agg(F.first("shard").alias("shard"), F.first("offset").alias("offset"), F.first("length").alias("length"))
+    images = index.groupBy("digest").agg(F.first("shard").alias("shard"), F.first("offset").alias("offset"), F.first("length").alias("length")).select("digest", "shard", "offset", "length")
     return images.withColumn("stretch", F.floor(F.col("offset") / (8 << 20))).repartition("shard", "stretch").sortWithinPartitions("shard", "offset").drop("stretch")
 
 
 def reader(folder: str, size: int | None, columns: dict, make):
-    """mapInArrow function: digest, shard, offset, length -> digest and ``make(bytes)``; ``size``: of the range, None for the whole image."""
+    """mapInArrow function: digest, shard, offset, length and more columns -> all of them and ``make(bytes, *more)``;
+    ``size``: of the range, None for the whole image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         name, file = None, None
-        schema = pa.schema([("digest", pa.string()), *columns.items()])
         for batch in batches:
             rows = []
-            for digest, shard, offset, length in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for _, shard, offset, length, *more in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != name:
                     name, file = shard, fs.open_input_file(f"{path}/{shard}")
-                data = file.read_at(min(size or length, length), offset)
-                rows.append((digest, *make(data)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+                rows.append(make(file.read_at(min(size or length, length), offset), *more))
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *columns])
 
     return run
 
 
+PLACE = "digest string, shard string, offset long, length long"
+HEADERS = f"{PLACE}, width int, height int, bits int"
+
+
 def headers(index: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, bits of each image, from its first HEADER bytes."""
+    """digest and place, width, height, bits of each image, from its first HEADER bytes."""
     columns = {"width": pa.int32(), "height": pa.int32(), "bits": pa.int32()}
-    return places(index).mapInArrow(reader(folder, HEADER, columns, read_header), "digest string, width int, height int, bits int")
+    return places(index).mapInArrow(reader(folder, HEADER, columns, read_header), HEADERS)
 
 
-def measure(data: bytes) -> tuple:
+def measure(data: bytes, width: int, height: int, bits: int) -> tuple:
     payload = from_png(data)
-    width, height, bits = read_header(data[:HEADER])
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, width, height), width, height, bits
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, width, height)
 
 
 def payloads(index: DataFrame, folder: str) -> DataFrame:
-    """What each image holds, read back from its shard."""
-    columns = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "width": pa.int32(), "height": pa.int32(), "bits": pa.int32()}
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int"
-    return places(index).mapInArrow(reader(folder, None, columns, measure), schema)
+    """What each image holds, read back from its shard by the tasks that have read its header."""
+    columns = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    schema = f"{HEADERS}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return headers(index, folder).mapInArrow(reader(folder, None, columns, measure), schema).drop("shard", "offset", "length")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

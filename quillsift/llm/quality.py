@@ -6,13 +6,14 @@ under the good dictionary a byte (a text that folds away, one word again and aga
 to show), go through a logistic curve fitted on labelled rows that are in neither dictionary.
 
 The fit uses a bounded sample: ``rows_per_class`` labelled rows of each class, the first in a seeded
-hash order; half of them fill the dictionaries (``dict_bytes`` at most), half fit the curve.  Every
+hash order; half of them fill the dictionaries, until ``dict_bytes`` are full, with ``row_pieces`` pieces of ``piece_chars`` characters of each,
+spread evenly from the start of its text to the end (a shorter text is whole); the other half fit the curve, with their whole texts.  Every
 document's whole text is scored.  Labels, lang, source and doc_id are no inputs of a score.
 
 Edge cases: null and empty text get the score of a text without evidence (difference 0, as short a
 text as can be); labels that are null are not used, of contradicting labels of one document the least
 counts; without labelled rows of both classes every score is the smoothed share of good labels (0.5
-with none).  Repeated rows get equal scores.  Extra columns stay as they are.
+with none).  Repeated rows get equal scores; a null doc_id has no label and is not held out; texts of any length are scored whole.  Extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, dict_bytes: int = 256 << 10, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, dict_bytes: int = 256 << 10, seed: int = 5, row_pieces: int = 8, piece_chars: int = 256) -> Model:
     """``labels``: doc_id, quality; the caller leaves out what must not be learned from."""
     spark = docs.sparkSession
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("k", F.xxhash64("doc_id", F.lit(seed)))
@@ -80,11 +81,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, dict_byt
         return Model()
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, quality int, part int"))  # 2 * rows_per_class rows at most
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").filter("text is not null")
-    pieces = rows.filter("part = 0").select("doc_id", "quality", F.substring("text", 1, 2 * BLOCK).alias("text")).collect()
+    length, room = F.length("text"), row_pieces * piece_chars
+    at = lambda i: F.floor(i * (length - piece_chars) / F.lit(max(1, row_pieces - 1))).cast("int") + 1
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(row_pieces - 1)), lambda i: F.substring("text", at(i), F.lit(piece_chars))), " ")
+    pieces = rows.filter("part = 0").select("doc_id", "quality", F.when(length <= room, F.col("text")).otherwise(spread).alias("text")).collect()  # rows_per_class rows at most
     held = {0: bytearray(), 1: bytearray()}
     for r in sorted(pieces, key=lambda r: (hash((r.doc_id * 2654435761) % 4294967291), r.text)):
         if len(held[r.quality]) < dict_bytes:
-            held[r.quality] += r.text.encode("utf-8", "replace")[: 2 * BLOCK]
+            held[r.quality] += r.text.encode("utf-8", "replace")
     share = (sum(q for _, q, _ in ids) + 1) / (len(ids) + 2)
     model = Model(bytes(held[1][:dict_bytes]), bytes(held[0][:dict_bytes]), None, share)
     if len(model.good) < 8 or len(model.bad) < 8:
@@ -126,13 +130,13 @@ def remainder(doc_id) -> F.col:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` at least; all labels are learned from."""
     model = fit(docs, labels)
-    names = docs.columns
-    return docs.withColumn("__score", scorer(model)(F.col("text"))).filter(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in names])
+    scored = docs.select(scorer(model)(F.col("text")).alias("score"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return scored.filter(F.col("score") >= threshold).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = fit(docs, labels.filter(remainder(F.col("doc_id")) != 0))
-    scored = docs.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), scorer(model)(F.col("text")).alias("score"))
+    scored = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), scorer(model)(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
