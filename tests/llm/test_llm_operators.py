@@ -361,6 +361,14 @@ def test_index_opens_again(spark, real):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]
 
 
+def test_many_batches(spark, real, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 2)
+    expect = {x[0]: x[1:] for x in brute_repeats(sorted((r.doc_id, r.text) for r in real.collect()))}
+    got = substring_dedup.remove_repeats(real, 5, with_text=True).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == expect
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
+
+
 def test_index_compacts(spark, real, monkeypatch):
     compacted = []
     write = substring_dedup.FingerprintIndex.write
