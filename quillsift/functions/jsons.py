@@ -66,6 +66,14 @@ def with_meta(profile: Column, evidence_count, tier, source, message_count, upda
     return profile.withField("_meta", meta)
 
 
+def existing_meta(profile, model) -> Column:
+    """source, tier, evidence_count of a stored profile; what it doesn't say follows from whether a model made it."""
+    own = lambda key: blank_to_null(F.get_json_object(col(profile), f"$._meta.{key}"))
+    source = F.coalesce(own("source"), F.when(blank_to_null(model).isNull(), F.lit("heuristic")).otherwise(F.lit("llm")))
+    tier = F.coalesce(own("tier"), F.when(source == "llm", F.lit("deep")).otherwise(F.lit("quick")))
+    return F.struct(source.alias("source"), tier.alias("tier"), F.coalesce(own("evidence_count").try_cast("int"), F.lit(0)).alias("evidence_count"))
+
+
 def json_keys(c) -> Column:
     return F.json_object_keys(col(c))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsons import enrich_filled, first_json
 from ..functions.text import col, short_text
+from .model_calls import json_answers, missing_text
 
 FALLBACK = "heuristic-fallback"
 # fixed values: keyword groups in order, and what they say of a message
@@ -52,6 +53,14 @@ def enriched(messages: DataFrame, model: Callable[[Column], Column] | None = Non
     return out.withColumn("r", F.when(good, F.struct(filled["category"].alias("category"), filled["importance"].alias("importance"), filled["action"].alias("action"), filled["summary"].alias("summary"), F.lit("model").alias("model"))).otherwise(plain)).select("msg_id", "r.*")
 
 
+def answered(messages: DataFrame, call: Callable[[str], str], repairs: int = 2, compact: int = 600) -> DataFrame:
+    """``enriched`` by a service (prompt to answer): the full prompt, repairs of a bad answer, a prompt with a short body, keywords."""
+    ask = json_answers(call, missing_text("category", "summary"), repairs)
+    short = prompt("subject", "snippet", "body_text", compact)
+    rows = messages.withColumn("answer", ask(prompt("subject", "snippet", "body_text"), short))
+    return enriched(rows, lambda _: F.col("answer"))
+
+
 def prompt(subject, snippet, body, cap: int = 4000) -> Column:
     """The message for a model, the body cut with a note."""
     body = F.coalesce(col(body), F.lit(""))

@@ -5,13 +5,17 @@ threads (turn: time), embeddings for vectors, customers and orders for contacts.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import content_hash, policy_hash
-from ..operators import chunking, enrichment, evals, profiles, redaction, search, status, views
+from ..functions.progress import eta_minutes as eta
+from ..operators import attachments, chunking, enrichment, evals, profiles, redaction, redaction_pass, search, search_index, status, views
 from ..functions.jsons import enrich_issues
 from .catalog import register
 
@@ -412,6 +416,110 @@ def eval_slices(spark, sf_dir):
     return evals.summary(rows.withColumn("slice", evals.slice_key("label", "scope", "account")), "slice")
 
 
+WHOLE_EVAL = EVAL.replace("vec_id < 20", "vec_id % 50 = 0")
+
+
+def whole_eval_cases(spark, sf_dir):
+    """The cases of the stated query set, ids divisible by 50, against all vectors; what is relevant is counted by label."""
+    e = table(spark, sf_dir, "embeddings")
+    cases = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), F.col("label").alias("case_label"), F.col("embedding").alias("q"))
+    top = evals.in_blocks(cases, e.select(F.col("vec_id").alias("msg_id"), "embedding"), 10)
+    hits = top.join(e.select(F.col("vec_id").alias("msg_id"), "label"), "msg_id").join(cases.select("case_id", "case_label"), "case_id").filter("label = case_label")
+    wanted = cases.join(e.groupBy(F.col("label").alias("case_label")).agg(F.count(F.lit(1)).alias("wanted")), "case_label").select("case_id", "wanted")
+    return evals.judged(hits.select("case_id", "rank"), wanted, 10).join(cases.select("case_id", "case_label"), "case_id")
+
+
+@register("retrieval_eval", f"{WHOLE_EVAL} SELECT {SUMMARY} FROM n")
+def retrieval_eval(spark, sf_dir):
+    return evals.summary(whole_eval_cases(spark, sf_dir))
+
+
+@register("retrieval_eval_slices", f"{WHOLE_EVAL} SELECT 'label:' || label AS slice, {SUMMARY} FROM n JOIN q USING (case_id) GROUP BY 1")
+def retrieval_eval_slices(spark, sf_dir):
+    rows = whole_eval_cases(spark, sf_dir).withColumns({"label": F.col("case_label").cast("string"), "scope": F.lit(""), "account": F.lit("")})
+    return evals.summary(rows.withColumn("slice", evals.slice_key("label", "scope", "account")), "slice")
+
+
+def as_messages(spark, sf_dir):
+    d = docs(spark, sf_dir, "doc_id", "text", "source", "lang", "n_chars")
+    return d.select(F.col("doc_id").alias("msg_id"), F.lit("").alias("subject"), F.lit("").alias("snippet"), F.col("text").alias("body_text"), F.col("source").alias("account_email"), F.array("lang").alias("labels"), F.col("n_chars").cast("long").alias("internal_ts"))
+
+
+def index_root(spark):
+    """A new folder for an index; without a shared one only a local session has it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='quillsift-')).rstrip('/')}/index-{uuid.uuid4().hex[:12]}"
+
+
+SOURCE_TEXT = "SELECT doc_id, source, lang, n_chars, 'Body: ' || rtrim(substr(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 20000)) AS text FROM documents"
+
+
+@register("index_bm25", f"""WITH {BM25.replace('FROM documents', f'FROM ({SOURCE_TEXT})')} SELECT id, round(score, 6) AS score FROM bm JOIN documents ON doc_id = id
+WHERE source = 'src3' AND upper(lang) = 'EN' AND n_chars >= 100 ORDER BY bm.score DESC, id LIMIT 20""")
+def index_bm25(spark, sf_dir):
+    """Persisted postings, with the filters after the statistics of the whole index and before the limit."""
+    index = search_index.SearchIndex(spark, index_root(spark), "full")
+    index.add(as_messages(spark, sf_dir))
+    own = index.allowed(account="src3", label="en", start=100).select(F.col("msg_id").alias("id"))
+    return index.terms(list(TERMS)).join(own, "id", "left_semi").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+
+
+@register("index_rebuild", "SELECT doc_id AS msg_id, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END AS seg, source AS account_email FROM documents")
+def index_rebuild(spark, sf_dir):
+    """The segment each message is read from after a second run that found one language changed, and a third that found nothing."""
+    index, rows = search_index.SearchIndex(spark, index_root(spark), "redacted"), as_messages(spark, sf_dir)
+    index.add(rows)
+    changed = rows.withColumn("body_text", F.when(F.array_contains("labels", "fr"), F.concat(F.lit("changed "), "body_text")).otherwise(F.col("body_text")))
+    index.add(changed)
+    if index.add(changed):
+        raise RuntimeError("the third run found something to index")
+    return index.state().select("msg_id", "seg", "account_email")
+
+
+@register("index_search")
+def index_search(spark, sf_dir):
+    """Hybrid search over a redacted index."""
+    root = index_root(spark)
+    search_index.SearchIndex(spark, root, "redacted").add(as_messages(spark, sf_dir))
+    return search_index.searched(spark, root, "the of", k=10)
+
+
+@register("attachment_candidates", "SELECT o_orderkey AS msg_id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def attachment_candidates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("msg_id"), F.col("o_orderdate").alias("internal_ts"))
+    return attachments.inventory_candidates(o, table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("msg_id")))
+
+
+@register("attachment_states", "SELECT o_orderstatus AS inventory_state, count(*) AS n FROM orders GROUP BY 1")
+def attachment_states(spark, sf_dir):
+    return attachments.state_counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("inventory_state")))
+
+
+@register("attachment_stats", """SELECT l_linenumber, count(*) AS selected, count(*) FILTER (l_returnflag <> 'R') AS materialized, count(*) FILTER (l_returnflag = 'R') AS failed,
+CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_partkey ELSE 0 END) AS BIGINT) AS bytes_written, count(*) FILTER (l_linestatus = 'F') AS inline_sourced, count(*) FILTER (l_linestatus <> 'F') AS fetched FROM lineitem GROUP BY 1""")
+def attachment_stats(spark, sf_dir):
+    one = attachments.outcome(F.lit("x"), F.col("l_returnflag") != "R", F.col("l_partkey"), F.col("l_linestatus") == "F")
+    return attachments.summed(table(spark, sf_dir, "lineitem").select("l_linenumber", one.alias("o")).select("l_linenumber", "o.*"), "l_linenumber")
+
+
+@register("eta_minutes", """SELECT event_id, CASE WHEN event_id >= 3 AND value >= 1 AND 100000000 > event_id
+THEN greatest(1, CAST(round_even((100000000 - event_id) * value / event_id / 60.0, 0) AS INT)) END AS minutes FROM events""")
+def eta_minutes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", eta("event_id", F.lit(100000000), "value").alias("minutes"))
+
+
+@register("redact_pass")
+def redact_pass(spark, sf_dir):
+    """Messages and chunks redacted with one dictionary: placeholders of each message in its text and in its chunks."""
+    m = as_messages(spark, sf_dir)
+    chunks = chunking.message_chunks(m).select("chunk_id", "msg_id", "chunk_text")
+    _, whole, parts = redaction_pass.redact_pass(m.select("msg_id", F.col("body_text").alias("text"), "account_email"), chunks)
+    held = lambda c: F.size(F.regexp_extract_all(c, F.lit("<REDACTED_[A-Z_]+>"), F.lit(0)))
+    return whole.select("msg_id", held("redacted").alias("placeholders")).join(parts.groupBy("msg_id").agg(F.sum(held("redacted")).alias("in_chunks")), "msg_id")
+
+
 @register("token_estimate", r"SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0), len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]')), CASE WHEN text <> '' AND NOT contains(text, ' ') THEN ceil(length(text) / 1.5) ELSE 0 END) AS BIGINT) AS n_tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return docs(spark, sf_dir, "doc_id", "text").select("doc_id", T.token_estimate("text").alias("n_tokens"))

@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillsift.functions import dates, text, vectors
-from quillsift.operators import chunking, evals, indexing, profiles, redaction, search, status, triage, views
+from quillsift.functions import dates, jsons, progress, text, vectors
+from quillsift.operators import attachments, chunking, enrichment, evals, indexing, model_calls, profiles, redaction, redaction_pass, search, search_index, status, triage, views
 from quillsift.sources import mail, tables
 
 
@@ -328,3 +328,115 @@ def test_model_reply(spark):
     reply = 'Sure:\n```json\n{"redactions": [{"key_name": "person", "values": ["Jane Roe", " "]}, {"key_name": "EMAIL", "values": "a@b.co"}]}\n```'
     got = one(spark, redaction.model_pairs(F.lit(reply)))
     assert [(x.key_name, x.value) for x in got] == [("PERSON", "Jane Roe"), ("EMAIL", "a@b.co")]
+
+
+# ---------------------------------------------------------------- persisted index, passes, model calls
+
+MESSAGE = "msg_id string, subject string, snippet string, body_text string, account_email string, labels array<string>, internal_ts long"
+
+
+def test_index_levels_filters_and_runs(spark, tmp_path):
+    rows = [("a", "Rent", "", "write to bob@example.com about rent", "x", ["INBOX"], 100), ("b", "Rent again", "", "rent is due", "y", ["SENT"], 200), ("c", None, None, None, "x", [], None), (None, "Rent", "", "rent", "x", [], 1)]
+    m = spark.createDataFrame(rows, MESSAGE)
+    root = f"file://{tmp_path}/index"
+    low, full = search_index.SearchIndex(spark, root, "redacted"), search_index.SearchIndex(spark, root, "full")
+    with pytest.raises(ValueError):
+        search_index.searched(spark, root, "rent")
+    assert (low.add(m), low.add(m), full.add(m)) == (3, 0, 3)
+    ids = lambda df: [r.id for r in df.collect()]
+    assert set(ids(low.lexical("rent"))) == {"a", "b"} and ids(low.lexical("rent", account="y")) == ["b"]
+    assert ids(low.lexical("rent", label="inbox")) == ["a"] and ids(low.lexical("rent", start=100, end=200)) == ["a"]
+    assert ids(low.lexical('"rent is"')) == ["b"] and ids(low.lexical("  ")) == []
+    # an address can't be confirmed without clearance
+    assert ids(low.lexical("bob")) == [] and ids(full.lexical("bob")) == ["a"]
+    assert [r.used_level for r in search_index.searched(spark, root, "bob", clearance="full", strategy="lexical").collect()] == ["full"]
+    shown = search_index.searched(spark, root, "rent", k=2).collect()
+    assert {r.used_level for r in shown} == {"redacted"} and all("bob@" not in r.preview for r in shown)
+    with pytest.raises(ValueError):
+        search_index.searched(spark, root, "bob", level="full")
+    # a changed message is read from its new segment alone
+    changed = m.filter("msg_id = 'b'").withColumn("body_text", F.lit("other words")).withColumn("subject", F.lit(""))
+    assert low.add(changed) == 1 and set(ids(low.lexical("rent"))) == {"a"} and ids(low.lexical("other")) == ["b"]
+    assert low.state().count() == 3
+
+
+def test_search_ranks_redacted_text(spark):
+    d = spark.createDataFrame([(1, "write to bob@example.com", "s", "en"), (2, "nothing", "s", "en")], "doc_id long, text string, source string, lang string")
+    assert search.search(d, None, "bob", strategy="lexical").count() == 0
+    assert [r.id for r in search.search(d, None, "bob", strategy="lexical", clearance="full").collect()] == [1]
+
+
+def test_redact_pass_and_map(spark):
+    m = spark.createDataFrame([("a", "mail ann@example.com or ann@example.com", "x"), ("b", None, "x")], "msg_id string, text string, account_email string")
+    chunks = spark.createDataFrame([("a0", "a", "mail ann@exam"), ("a1", "a", "see bob@example.org"), ("b0", "b", None)], "chunk_id string, msg_id string, chunk_text string")
+    words, whole, parts = redaction_pass.redact_pass(m, chunks)
+    assert {(r.value_norm, r.placeholder) for r in words.collect()} == {("ann@example.com", "<REDACTED_EMAIL_A>"), ("bob@example.org", "<REDACTED_EMAIL_B>")}
+    assert {r.msg_id: r.redacted for r in whole.collect()} == {"a": "mail <REDACTED_EMAIL_A> or <REDACTED_EMAIL_A>", "b": ""}
+    assert {r.chunk_id: r.redacted for r in parts.collect()} == {"a0": "mail <REDACTED_EMAIL_A>", "a1": "see <REDACTED_EMAIL_B>", "b0": ""}
+    _, known = redaction.map_redact("ann@example.com and https://x.example/a.")
+    assert redaction_pass.map_from_json(redaction_pass.map_to_json(known, "s")) == known
+    assert redaction_pass.map_from_json("[1") == {} and redaction_pass.map_from_json(None) == {}
+
+
+def test_model_redaction_in_pieces(spark):
+    d = spark.createDataFrame([("a", "abcdefgh"), ("b", "to x@y.example"), ("c", None)], "msg_id string, text string")
+    model = lambda c: F.when(~F.contains(c, F.lit("@")), F.concat(F.lit("```\n"), F.upper(c), F.lit("\n```")))
+    assert {r.msg_id: r.redacted for r in redaction_pass.model_redacted(d, model, 100).collect()} == {"a": "ABCDEFGH", "b": "to [REDACTED_EMAIL]", "c": ""}
+    assert redaction_pass.model_redacted(d.filter("msg_id = 'a'"), model, 3).first().redacted == "ABCDEFGH"
+
+
+def test_model_calls():
+    class Busy(Exception):
+        code = 429
+
+    waits, tries = [], []
+
+    def call(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise Busy
+        return x
+
+    assert model_calls.retrying(call, sleep=waits.append)("p") == "p" and waits == [1.0, 2.0]
+    with pytest.raises(ZeroDivisionError):
+        model_calls.retrying(lambda: 1 / 0, sleep=waits.append)()
+    contract = model_calls.missing_text("category")
+    said = iter(["no", '{"category": " "}', 'well {"category": "a"}'])
+    assert json.loads(model_calls.json_answer(lambda p: next(said), "full", "short", contract)) == {"category": "a"}
+    assert json.loads(model_calls.json_answer(lambda p: '{"category": "b"}' if p == "short" else "", "full", "short", contract)) == {"category": "b"}
+    assert model_calls.json_answer(lambda p: 1 / 0, "full", "short", contract) is None
+
+
+def test_enrichment_by_service(spark):
+    m = spark.createDataFrame([("a", "Rent", "s", "b"), ("b", "Hi", "s", "b")], "msg_id string, subject string, snippet string, body_text string")
+    call = lambda p: '{"category": "home", "summary": "x", "importance": "99"}' if "Rent" in p else "?"
+    got = {r.msg_id: r for r in enrichment.answered(m, call).collect()}
+    assert (got["a"].category, got["a"].importance, got["a"].model) == ("home", 10, "model")
+    assert (got["b"].category, got["b"].model) == ("general", enrichment.FALLBACK)
+
+
+def test_meta_and_counters(spark):
+    meta = lambda p, m: tuple(one(spark, jsons.existing_meta(F.lit(p).cast("string"), F.lit(m).cast("string"))))
+    assert meta(None, None) == ("heuristic", "quick", 0) and meta("{", "m") == ("llm", "deep", 0)
+    assert meta('{"_meta": {"source": "heuristic", "evidence_count": "x"}}', "m") == ("heuristic", "quick", 0)
+    assert meta('{"_meta": {"tier": "deep", "evidence_count": 4}}', None) == ("heuristic", "deep", 4)
+    rows, seen = progress.observed(spark.range(10), even=F.count_if(F.col("id") % 2 == 0))
+    rows.collect()
+    assert seen.get == {"rows": 10, "even": 5}
+
+
+def test_attachments_are_written_once(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    a = spark.createDataFrame([("k1", "attachments/0/k1.txt"), ("k2", "attachments/0/k2.txt"), (None, "x")], "attachment_key string, path string")
+    inline = spark.createDataFrame([("k1", bytearray(b"one")), ("k2", None)], "attachment_key string, content binary")
+    assert [(r.path, r.content_size_bytes) for r in attachments.write_missing(spark, a, inline, root).collect()] == [("attachments/0/k1.txt", 3)]
+    stored = attachments.stored_files(spark, root)
+    assert attachments.write_missing(spark, a, inline, root, stored).count() == 0
+    assert bytes(attachments.file_bytes(spark, root).first().content) == b"one"
+
+
+def test_cases_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "msg_id long, embedding array<double>")
+    cases = v.filter("msg_id < 7").select(F.col("msg_id").alias("case_id"), F.col("embedding").alias("q"))
+    got = lambda block: sorted(map(tuple, evals.in_blocks(cases, v, 5, block).collect()))
+    assert got(2) == got(100) and len(got(2)) == 35
