@@ -55,3 +55,15 @@ def test_nothing_outside_imports_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert ".llm" not in p.read_text() and "import llm" not in p.read_text(), p
+
+
+def test_evaluation_slices_over_more_vectors(spark, tmp_path):
+    """6,000 vectors and 120 cases, each slice against the SQL."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT vec_id + 2000 * i AS vec_id, embedding, label FROM '/root/testdata/sf0.1/embeddings.parquet', range(3) t(i)) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    for name in ("retrieval_eval", "retrieval_eval_slices"):
+        result = con.execute(catalog.ORACLE[name])
+        own = [d[0] for d in result.description]
+        found = [[plain(r[c]) for c in own] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(found, key=repr) == sorted(([plain(x) for x in r] for r in result.fetchall()), key=repr)
