@@ -8,7 +8,8 @@ others by length and position; where very many stand under one, first against th
 neighbours, then, as far as their components still differ, against each other.  What passes is verified in a trie: the sets to be held against one set arrive in
 lexicographic order, which is the depth-first order of their trie; overlaps of the shared path are
 kept, and a branch ends where the rest of the lengths can't reach the overlap that is needed.
-Components come from alternating large and small stars.
+Components come from alternating large and small stars, or, of a small fixed number of links, from following them on
+the driver: stars over a few rows are hundreds of tasks a round.
 
 So copies and near copies by the thousand cost a link each, no group is ever emitted as all its pairs, and
 no link between different components is lost: only pairs within a component already found are skipped.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import cleaned, staged
 from .words import Hashed, roll, slices
 
 #: Slots of the count sketch; 24 bits of a shingle's hash.
@@ -39,6 +40,8 @@ SHIFT = np.uint64(40)
 NO_ID = -(1 << 63)
 #: Sets under a first shingle up to this number are held against each other at once.
 RUN = 4
+#: So many links, 16 bytes each, are followed on the driver; more of them by stars on the cluster.
+FEW = 50_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -343,9 +346,30 @@ def verify(percent: int):
     return run
 
 
+def followed(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes, and the smallest node reachable from each, without those that are it."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    least = np.arange(len(nodes))
+    while True:  # a node points at a smaller one; its links join what both point at, then paths are halved until they end
+        x, y = least[i], least[j]
+        if (x == y).all():
+            break
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least != (up := least[least])).any():
+            least = up
+    own = least != np.arange(len(nodes))
+    return nodes[own], nodes[least[own]]
+
+
 def components(links: DataFrame, tries: int = 60) -> DataFrame:
     """node, comp (the smallest node reachable) of the links a, b: alternating large and small stars."""
     edges, was = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links"), None
+    if edges.count() <= FEW:
+        few = edges.toPandas()
+        found = followed(few["u"].to_numpy(dtype=np.int64), few["v"].to_numpy(dtype=np.int64))
+        table = pa.table([pa.array(x, pa.int64()) for x in found], names=["node", "comp"])
+        return staged(links.sparkSession.createDataFrame(table), "comps")
     for _ in range(tries):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -362,7 +386,12 @@ def components(links: DataFrame, tries: int = 60) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """A row per row of ``docs``: doc_id, text_hash, set, n_shingles, component_id (the smallest doc_id reachable)."""
-    spark = docs.sparkSession
+    with cleaned(docs.sparkSession):
+        out = grouped(docs, size, percent)
+    return out.select("*")  # whose own shuffle files stay as long as it
+
+
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     found = staged(docs.mapInArrow(describe(size), "kind int, a long, b long, c long, more long, d long, sketch binary"), "sets")
     keyed = found.filter("kind = 0")

@@ -240,6 +240,19 @@ def test_ngram_join(docs, none, rows):
     assert ngram_join.jaccard_groups(none).count() == 0
 
 
+def test_components_of_few_links(spark, monkeypatch):
+    """The same as by stars, and without their hundreds of tasks a round."""
+    links = spark.createDataFrame(np.random.default_rng(3).integers(-90, 90, (80, 2)).tolist() + [(i, i + 1) for i in range(1000, 1200)], "a long, b long")
+    shuffles = spark.sparkContext._jsc.sc().newShuffleId
+    before = shuffles()
+    few = bag(ngram_join.components(links), "node", "comp")
+    assert shuffles() - before < 8
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    assert few == bag(ngram_join.components(links), "node", "comp")
+    monkeypatch.setattr(ngram_join, "FEW", 50)
+    assert ngram_join.components(links.limit(0)).count() == 0
+
+
 def test_ngram_join_large_group(spark, monkeypatch):
     """More near copies under a first shingle than are held against each other at once."""
     monkeypatch.setattr(ngram_join, "RUN", 4)
