@@ -90,6 +90,15 @@ def test_suffix_tree(spark, docs, none, rows):
     assert suffix_tree.score_texts(none.withColumn("learn", F.lit(True))).count() == 0
 
 
+def test_suffix_tree_layout(spark, monkeypatch):
+    """Scores are the same however the documents are dealt out, where lossy counts are not."""
+    monkeypatch.setattr(suffix_tree, "JOINT", 4e-3)
+    g = np.random.default_rng(7)
+    d = spark.createDataFrame([(i, " ".join(f"w{j if i < 120 else 39 - j}" for j in g.zipf(1.6, 60) % 40), i % 4 > 0) for i in range(240)], "doc_id long, text string, learn boolean")
+    one, many = ({r.doc_id: r.score for r in suffix_tree.score_texts(x).collect()} for x in (d.coalesce(1), d.repartitionByRange(4, "doc_id")))
+    assert len(one) == 240 and all(abs(one[i] - many[i]) < 1e-9 for i in one)
+
+
 def test_suffix_tree_predicts(spark, real):
     got = suffix_tree.score_texts(real.withColumn("learn", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)).filter("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
