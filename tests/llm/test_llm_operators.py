@@ -630,3 +630,23 @@ def test_lines_clashing_names(spark):
     rows = [(1, "one two three four five\nx", *names), (2, "five four three two one", *names)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, ["doc_id", "text", *names]), details=True, drop_emptied=True).collect()
     assert [tuple(r) for r in got] == [(1, rows[0][1], *names, 2, 0)]
+
+
+def test_lines_lowered_without_patterns(spark):
+    """Words of lines with other letters than ASCII: equal where A-Z alone differ, without a regular expression or a table of letters for a line."""
+    chars = ["A", "a", "Z", "z", "É", "é", "ß", "×", "÷", "Þ", "þ", "Ж", "ж", "İ", "i", "I", "Σ", "σ", "ς", "\u00c9\u3240", "\u3249", "\u3240", "\u0249", "日", "😀", "\u07ff", "\u0340\u0300", "K"]
+    words = sorted({x + y for x in chars for y in ["", *chars]})
+    d = spark.createDataFrame([(i, w + " é") for i, w in enumerate(words)], "i long, line string")
+    out = d.select("i", line_dedup.lowered(F.col("line")).alias("x"))
+    found = {r.i: r.x for r in out.collect()}
+    groups = lambda key: sorted(sorted(g) for g in _grouped(range(len(words)), key).values())
+    assert groups(found.get) == groups(lambda i: words[i].translate(LOWER))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan and "translate" not in plan
+
+
+def _grouped(items, key) -> dict:
+    out = {}
+    for x in items:
+        out.setdefault(key(x), []).append(x)
+    return out
