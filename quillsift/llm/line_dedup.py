@@ -5,7 +5,7 @@ line, by doc_id and place, has a Jaccard similarity of 0.8 or more with it; what
 a line that is removed itself still removes later ones.  Lines of fewer than ``min_words`` distinct words
 stay and remove nothing; the query and the pipeline take 1, so that only blank lines do.
 
-Lines of the same text are one class: the first stays to stand for it, the others go.  Words are ordered by rarity
+Lines of the same text, A-Z lower-cased, are one class: the first stays to stand for it, the others go.  Words are ordered by rarity
 (counts over all lines in 2**16 slots, ties by hash), and two similar lines share one of their first
 ``n - ceil(0.8 n) + 1`` words, on which the first lines are joined with filters by length, by position and by a 64-bit sketch,
 whose differing bits are a lower bound for the differing words.  A semi-join finds the rows that pass
@@ -34,10 +34,11 @@ AT = ["doc_id", "h", "line"]
 #: White space within a line besides the space itself, each of which is rare.
 CONTROLS = ["\t", "\x0b", "\x0c", "\r"]
 #: The rows a and b of a word pass the sketch, length and position filters: sets that share o of n + m words differ by n + m - 2 o.
+#: By position a pair has to pass under the first word that its lines share, as each similar pair does; none of the words before is shared.
 PASSES = f"""
     a.word = b.word AND (100 + {{p}}) * bit_count(a.s ^ b.s) <= (100 - {{p}}) * (a.n + b.n)
     AND {{p}} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
-    AND (100 + {{p}}) * (least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos)) >= {{p}} * (a.n + b.n)
+    AND (100 + {{p}}) * least(a.n - a.pos, b.n - b.pos) >= {{p}} * (a.n + b.n)
     AND (a.n < {LONG} OR b.n < {LONG} OR (100 + {{p}}) * (bit_count(a.z ^ b.z) + bit_count(a.s ^ a.z ^ b.s ^ b.z)) <= (100 - {{p}}) * (a.n + b.n))
 """
 EARLIER = "struct(a.doc_id, a.h, a.line) < struct(b.doc_id, b.h, b.line)"
@@ -62,10 +63,10 @@ def words_of(line: str) -> Column:
 
 
 def levels(docs: DataFrame) -> Column:
-    """An array literal: twice the logarithm of how many words fall on each slot of their hashes."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(lowered(F.col("line")).alias("line"))
+    """An array literal: twice the logarithm of how many words fall on each slot of their hashes.  ``docs``: text, lowered and spaced."""
     slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-    counts = lines.select(F.explode(F.split("line", " ")).alias("word")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     found = {r.slot: min(126, (r.n * r.n).bit_length()) for r in counts.collect()}  # SLOTS rows at most
     return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(SLOTS))), ",").cast("array<int>")
 
@@ -74,15 +75,17 @@ def first_lines(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
     """doc_id, h, line, n, s, z (sketch), firsts (the rarest words' codes) of the first line of each text.
 
     A word's code is its level and 56 bits of hash.  The sketch s has the parity of how many words fall on each of 64 bits, z of those
-    of one half of all words, for long lines."""
-    rank, one, zero = levels(docs), F.lit(1).cast("long"), F.lit(0).cast("long")
-    lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "txt"))
-    lines = lines.select(*AT, F.xxhash64("txt").alias("k1"), F.xxhash64(F.lit(1), "txt").alias("k2"), lowered(spaced(F.col("txt"))).alias("txt"))
-    words = F.array_remove(F.array_distinct(F.transform(F.split("txt", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    level = lambda w: F.coalesce(F.get(rank, w.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0)).cast("long")  # never null: sorted as primitives
-    code = lambda w: F.shiftleft(level(w), 56).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
-    lines = lines.select(*AT, "k1", "k2", F.sort_array(F.transform(words, code)).alias("codes"))
-    place = lambda w: F.shiftright(w, 20).bitwiseAND(F.lit(63)).cast("int")
+    of one half of all words, for long lines.  Texts are lower-cased whole, each once; words are made distinct and sorted outside of
+    the functions with lambdas, which are interpreted with all that they read: compiled, both work on primitives."""
+    low = docs.select("doc_id", "h", lowered(spaced(F.col("text"))).alias("text"))
+    rank, one, zero = levels(low), F.lit(1).cast("long"), F.lit(0).cast("long")
+    lines = low.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "txt"))
+    level = lambda w: F.coalesce(rank[w.bitwiseAND(F.lit(SLOTS - 1))], F.lit(0)).cast("long")  # never null: sorted as primitives
+    code = lambda w: F.shiftleft(level(w), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+    codes = F.transform(F.transform(F.split("txt", " "), lambda w: F.xxhash64(w)), code)
+    codes = F.sort_array(F.array_distinct(F.array_remove(codes, code(F.xxhash64(F.lit(""))))))
+    lines = lines.select(*AT, F.xxhash64("txt").alias("k1"), F.xxhash64(F.lit(1), "txt").alias("k2"), codes.alias("codes"))
+    place = lambda w: F.shiftright(w, 32).cast("int")  # of which a shift takes six bits
     s = F.aggregate("codes", zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", one, place(w))))
     half = lambda w: F.shiftright(w, 26).bitwiseAND(one)
     z = F.when(F.size("codes") < LONG, zero).otherwise(F.aggregate("codes", zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", half(w), place(w)))))

@@ -645,6 +645,18 @@ def test_lines_lowered_without_patterns(spark):
     assert "rlike" not in plan and "translate" not in plan
 
 
+def test_first_lines_work_once(spark):
+    """Lines that differ by case alone are one class, words are made distinct outside of interpreted functions, and a pair has to
+    pass under its first shared word: under a later one alone, with too few words from there on, it does not."""
+    d = spark.createDataFrame([(1, 0, "A b\tC\nx"), (2, 0, "a B c"), (3, 0, "a b c É"), (4, 0, "A b C É")], "doc_id long, h long, text string")
+    first = line_dedup.first_lines(d, 80, 1)
+    assert {(r.doc_id, r.line, r.n) for r in first.collect()} == {(1, 0, 3), (1, 1, 1), (3, 0, 4)}
+    assert "transform(array_" not in first._jdf.queryExecution().optimizedPlan().toString().lower()
+    row = "1L AS word, 20 AS n, 0L AS s, 0L AS z"
+    passes = lambda a, b: spark.sql(f"SELECT * FROM (SELECT {row}, {a} AS pos) a JOIN (SELECT {row}, {b} AS pos) b ON {line_dedup.PASSES.format(p=80)}").count()
+    assert [passes(0, 0), passes(2, 2), passes(0, 2), passes(3, 3)] == [1, 1, 1, 0]  # 18 words of 20 shared are enough, 17 are not
+
+
 def _grouped(items, key) -> dict:
     out = {}
     for x in items:
