@@ -99,6 +99,41 @@ def test_suffix_tree_layout(spark, monkeypatch):
     assert len(one) == 240 and all(abs(one[i] - many[i]) < 1e-9 for i in one)
 
 
+def test_suffix_tree_whole(spark, monkeypatch):
+    """Scores are those of the tree in one place, over all that occurs twice; a text that was learned twice among many others is told from one learned once."""
+    monkeypatch.setattr(suffix_tree, "BLOCK", 3_000, raising=False)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 5_000, raising=False)
+    g = np.random.default_rng(8)
+    texts = [" ".join(f"w{j}" for j in g.zipf(1.3, 50) % 3000) for _ in range(400)]
+    for k in range(200, 400):  # words that follow from three before
+        ws = list(g.integers(0, 6, 3))
+        while len(ws) < 60:
+            ws.append((ws[-1] * 3 + ws[-2] * 5 + ws[-3] * ws[-1]) % 6 if g.random() < 0.9 else g.integers(0, 6))
+        texts[k] = " ".join(f"v{j}" for j in ws)
+    rare = [" ".join(f"r{i}x{j}" for j in range(30)) for i in range(20)]
+    rows = [(i, t, i % 4 > 0) for i, t in enumerate(texts)] + [(1000 + i, t, True) for i, t in enumerate(rare)] + [(2000 + i, t, True) for i, t in enumerate(rare[:10])]
+    got = {r.doc_id: r for r in suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)).collect()}
+    own = [([*t.split(" "), " "], learn) for _, t, learn in rows]
+    counts = Counter(w for ws, learn in own if learn for w in ws)
+    number = {w: i for i, w in enumerate(counts, 1)}
+    unigram = np.array([0, *counts.values()])
+    tokens, base = sum(counts.values()), lambda c: (c + 0.5) / (sum(counts.values()) + 0.5 * (len(counts) + 1))
+    found = Counter((d, sum(number[ws[i - 1 - j]] << (16 * j) for j in range(d)), number[ws[i]]) for ws, learn in own if learn for d in range(1, 4) for i in range(d, len(ws)))
+    table = np.array([(*k, n) for k, n in found.items() if n >= 2], dtype=[("depth", "i4"), ("context", "i8"), ("symbol", "i4"), ("n", "i8")])
+    tree = suffix_tree.Tree(table, unigram, tokens, base)
+    assert all(len(level[0]) for level in tree.levels)
+    for (i, _, _), (ws, _) in zip(rows, own):
+        sym = np.array([number.get(w, 0) for w in ws])
+        keys, ok = np.zeros(len(ws), dtype=np.uint64), []
+        for d in range(1, 4):
+            back = np.append(np.zeros(min(d, len(ws)), dtype=np.int64), sym[:-d])
+            ok.append((back > 0) & (ok[-1] if ok else True))
+            keys |= back.astype(np.uint64) << np.uint64(16 * (d - 1))
+        assert got[i].score == pytest.approx(np.log10(tree.probability(3, keys, sym, base(unigram[sym]), ok)).sum(), abs=1e-6)
+    apart = [got[1000 + i].score - got[1000 + i].base_score for i in range(20)]
+    assert min(apart[:10]) > max(apart[10:]) + 20
+
+
 def test_suffix_tree_predicts(spark, real):
     got = suffix_tree.score_texts(real.withColumn("learn", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)).filter("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
