@@ -62,13 +62,19 @@ def words_of(line: str) -> Column:
     return F.array_remove(F.array_distinct(F.split(lowered(spaced(F.col(line))), " ")), "")
 
 
+def longs(numbers) -> Column:
+    """An array literal."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
 def levels(docs: DataFrame) -> Column:
-    """An array literal: twice the logarithm of how many words fall on each slot of their hashes.  ``docs``: text, lowered and spaced."""
+    """An array literal: twice the logarithm of how many words fall on each slot of their hashes, in the bits of a
+    code above its hash.  ``docs``: text, lowered and spaced."""
     slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = words.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     found = {r.slot: min(126, (r.n * r.n).bit_length()) for r in counts.collect()}  # SLOTS rows at most
-    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(SLOTS))), ",").cast("array<int>")
+    return longs(found.get(i, 0) << 56 for i in range(SLOTS))
 
 
 def first_lines(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
@@ -78,17 +84,16 @@ def first_lines(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
     of one half of all words, for long lines.  Texts are lower-cased whole, each once; words are made distinct and sorted outside of
     the functions with lambdas, which are interpreted with all that they read: compiled, both work on primitives."""
     low = docs.select("doc_id", "h", lowered(spaced(F.col("text"))).alias("text"))
-    rank, one, zero = levels(low), F.lit(1).cast("long"), F.lit(0).cast("long")
+    rank, bits, zero = levels(low), longs((1 << i) - (1 << 64) * (i == 63) for i in range(64)), F.lit(0).cast("long")
     lines = low.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "txt"))
-    level = lambda w: F.coalesce(rank[w.bitwiseAND(F.lit(SLOTS - 1))], F.lit(0)).cast("long")  # never null: sorted as primitives
-    code = lambda w: F.shiftleft(level(w), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
+    code = lambda w: F.coalesce(rank[w.bitwiseAND(F.lit(SLOTS - 1))], zero).bitwiseOR(F.shiftrightunsigned(w, 8))  # never null: sorted as primitives
     codes = F.transform(F.transform(F.split("txt", " "), lambda w: F.xxhash64(w)), code)
     codes = F.sort_array(F.array_distinct(F.array_remove(codes, code(F.xxhash64(F.lit(""))))))
     lines = lines.select(*AT, F.xxhash64("txt").alias("k1"), F.xxhash64(F.lit(1), "txt").alias("k2"), codes.alias("codes"))
-    place = lambda w: F.shiftright(w, 32).cast("int")  # of which a shift takes six bits
-    s = F.aggregate("codes", zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", one, place(w))))
-    half = lambda w: F.shiftright(w, 26).bitwiseAND(one)
-    z = F.when(F.size("codes") < LONG, zero).otherwise(F.aggregate("codes", zero, lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", half(w), place(w)))))
+    bit = lambda w: bits[w.bitwiseAND(F.lit(63))]
+    s = F.aggregate("codes", zero, lambda s, w: s.bitwiseXOR(bit(w)))
+    half = lambda w: F.shiftright(w, 26).bitwiseAND(F.lit(1))
+    z = F.when(F.size("codes") < LONG, zero).otherwise(F.aggregate("codes", zero, lambda s, w: F.when(half(w) == 1, s.bitwiseXOR(bit(w))).otherwise(s)))
     n = F.size("codes")
     firsts = F.slice("codes", F.lit(1), n - F.expr(f"cast(({percent} * size(codes) + 99) div 100 as int)") + 1)
     drawn = lines.select(*AT, "k1", "k2", n.alias("n"), s.alias("s"), z.alias("z"), firsts.alias("firsts"))

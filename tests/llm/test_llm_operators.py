@@ -692,6 +692,14 @@ def test_first_lines_work_once(spark):
     assert [passes(0, 0), passes(2, 2), passes(0, 2), passes(3, 3)] == [1, 1, 1, 0]  # 18 words of 20 shared are enough, 17 are not
 
 
+def test_levels_in_place(spark):
+    """A word's level stands above the hash already, in a primitive array."""
+    d = spark.createDataFrame([("a a a\na a b",), ("b a",), ("b",), ("b",)], "text string")
+    slots = spark.sql("SELECT int(xxhash64('a') & 65535) AS a, int(xxhash64('b') & 65535) AS b").first()
+    found = d.limit(1).select(line_dedup.levels(d).alias("x")).first().x
+    assert (found[slots.a], found[slots.b]) == (6 << 56, 5 << 56) and sum(x > 0 for x in found) == 2
+
+
 def _grouped(items, key) -> dict:
     out = {}
     for x in items:
