@@ -134,6 +134,17 @@ def test_suffix_tree_whole(spark, monkeypatch):
     assert min(apart[:10]) > max(apart[10:]) + 20
 
 
+def test_suffix_tree_ranks():
+    """Ranks of hashes by a sort with the places in their low bits; hashes that differ there alone are still told apart."""
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 5000):
+        for most, shift in ((1 << 63, 0), (5, 0), (3, 61)):
+            h = rng.integers(0, most, n, dtype=np.uint64) << np.uint64(shift)
+            got, nth, one = suffix_tree.ranked(h)
+            want, at = np.unique(h, return_inverse=True)
+            assert got.tolist() == want.tolist() and nth.tolist() == at.tolist() and h[one].tolist() == want.tolist()
+
+
 def test_suffix_tree_predicts(spark, real):
     got = suffix_tree.score_texts(real.withColumn("learn", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)).filter("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
