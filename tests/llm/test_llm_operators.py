@@ -74,6 +74,24 @@ def test_hashed_words(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_driver_heap_is_given_back(spark, monkeypatch):
+    """After each staged write garbage is collected, on a cluster, where the driver's heap is more than half of what it may be."""
+    from types import SimpleNamespace as Some
+
+    from quillsift.llm import common
+
+    done, collected = [], common.collected
+    for local, total, want in ((False, 600, 1), (False, 300, 0), (True, 600, 0)):
+        heap = Some(totalMemory=lambda n=total: n, maxMemory=lambda: 750)
+        java = Some(lang=Some(Runtime=Some(getRuntime=lambda h=heap: h), System=Some(gc=lambda: done.append(1))))
+        collected(Some(_jvm=Some(java=java), _jsc=Some(sc=lambda x=local: Some(isLocal=lambda: x))))
+        assert len(done) == want
+        done.clear()
+    collected(spark)
+    monkeypatch.setattr(common, "collected", done.append)
+    assert common.staged(spark.range(3)).count() == 3 and len(done) == 1
+
+
 # ---------------------------------------------------------------- 1: suffix tree
 
 
